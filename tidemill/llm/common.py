@@ -144,7 +144,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 22) -> np.ndarray:
+def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
     """A 64-bit hash of each word's bytes, from polynomial prefix sums.
 
     Bytes go through a non-linear table first; blocks bound the temporary arrays.
