@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, packing, quality, tokens, toxicity
+from . import chat, decontaminate, langid, neardup, packing, quality, rules, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -27,10 +31,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -40,7 +52,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_toxicity, op4_chat_format, op5_packing, op7_language_id, op9_token_counts, op10_quality)}
+    every = (op2_quality_rules, op3_toxicity, op4_chat_format, op5_packing, op6_decontamination, op7_language_id, op8_near_duplicates, op9_token_counts, op10_quality)
+    return {f.__name__: f for f in every}
 
 
 OP4_SQL = """
@@ -60,5 +73,79 @@ FROM e GROUP BY conv_id
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_PLAIN = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {_SPACED.format("t")} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+h AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 5),
+g AS (SELECT doc_id, i, list_aggregate(w[i : i + 4], 'string_agg', ' ') AS s FROM h),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, (SELECT unnest(range(0, 5)) AS j) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(len(l) AS BIGINT) AS n_lines,
+    CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN c ON c.doc_id = w.doc_id
+),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+f AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, unnest([
+    struct_pack(rule := 'symbols', rate := 1000 * n_symbols // greatest(word_chars, 1)), struct_pack(rule := 'upper', rate := 1000 * n_upper // greatest(word_chars, 1)),
+    struct_pack(rule := 'lines', rate := 1000 * n_dup_lines // greatest(n_lines, 1)), struct_pack(rule := 'repeats', rate := 1000 * n_repeat_words // greatest(n_words, 1))], recursive := true)
+  FROM b
+),
+s AS (
+  SELECT f.lang, f.rule, cut, sum(CAST(quality = 1 AS INT)) AS n1, sum(CAST(quality = 0 AS INT)) AS n0,
+    sum(CAST(quality = 1 AND rate > cut AS INT)) AS k1, sum(CAST(quality = 0 AND rate > cut AS INT)) AS k0
+  FROM f JOIN b USING (doc_id) JOIN labels USING (doc_id), (SELECT unnest({list(rules.GRID)}) AS cut)
+  WHERE NOT base_failed AND quality IN (0, 1) GROUP BY ALL
+),
+t AS (
+  SELECT *, k0 * n1 - {rules.COST} * k1 * n0 AS gain, (SELECT count(DISTINCT lang) FROM s) AS strata,
+    CASE WHEN k1 > {rules.ALPHA / 4} * n1 THEN 1 ELSE list_sum(list_transform(range(0, CAST(k1 + 1 AS BIGINT)), lambda i:
+      exp(lgamma(n1 + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n1 - i + 1) + i * ln({rules.ALPHA / 4}) + (n1 - i) * ln(1 - {rules.ALPHA / 4})))) END AS tail
+  FROM s
+),
+k AS (SELECT lang, rule, max(struct_pack(gain, cut)).cut AS cut FROM t WHERE gain > 0 AND tail <= {rules.DELTA} / (strata * {4 * len(rules.GRID)}) GROUP BY ALL),
+o AS (SELECT doc_id, bool_or(rate > coalesce(cut, {rules.NO_CUTOFF})) AS over FROM f LEFT JOIN k USING (lang, rule) GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT over AS kept
+FROM b JOIN o USING (doc_id)
+"""
+
+OP6_SQL = f"""
+WITH b AS (SELECT item_id, {_PLAIN.format(_LOWER)} AS w FROM benchmark),
+v AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 11, 2))) AS i FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, list_aggregate(w[i : i + 12], 'string_agg', ' ') AS s FROM v),
+d AS (SELECT doc_id, {_PLAIN.format(_LOWER)} AS w FROM documents),
+p AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+g AS (SELECT doc_id, n, i, list_aggregate(w[i : i + n - 1], 'string_agg', ' ') AS s FROM p),
+o AS (SELECT doc_id, item_id, i, n FROM g JOIN win USING (n, s)),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM o) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM o) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+OP8_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACED.format(_LOWER)} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, list_aggregate(w[i : i + 3], 'string_agg', ' ') AS s FROM p),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM x JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_chat_format": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_near_duplicates": OP8_SQL}
