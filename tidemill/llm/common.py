@@ -65,7 +65,11 @@ def text_array(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     col = batch.column(batch.schema.get_field_index(name))
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    return pc.fill_null(col.cast(pa.large_string()), "")
+    col = pc.fill_null(col.cast(pa.large_string()), "")
+    if not col.offset and (not len(col) or not int(np.frombuffer(col.buffers()[1], np.int64)[0])):
+        return col
+    flat, off = raw_bytes(col)  # ascii_lower misreads text buffers that do not begin at 0
+    return pa.LargeStringArray.from_buffers(len(col), pa.py_buffer(off.tobytes()), pa.py_buffer(flat.tobytes()))
 
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, neardup, packing, quality, rules, tokens, toxicity
+from . import chat, decontaminate, langid, lm, neardup, packing, quality, rules, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op2_quality_rules, op3_toxicity, op4_chat_format, op5_packing, op6_decontamination, op7_language_id, op8_near_duplicates, op9_token_counts, op10_quality)
+    every = (op1_lm_scoring, op2_quality_rules, op3_toxicity, op4_chat_format, op5_packing, op6_decontamination, op7_language_id, op8_near_duplicates, op9_token_counts, op10_quality)
     return {f.__name__: f for f in every}
 
 
