@@ -7,11 +7,11 @@ held out of all learning.
 
 Passes over the texts:
 
-1. on a fixed share of the training documents: id counts, from which the classes
+1. on a share of the training documents: id counts, from which the classes
    are chosen;
 2. on all training documents: word counts (by 64-bit hash), id counts and class
    bigrams, aggregated in Spark;
-3. once for each of ``RATES``, each time on another fixed share of the training documents: every
+3. once for each of ``RATES``, each time on another share of the training documents: every
    task trains the attention model from the common weights and the weights are
    averaged by tokens, in two steps of bounded fan-in;
 4. on all documents: scores.  Overlapping windows, batched, with a mask so that
@@ -44,9 +44,11 @@ from . import attention
 from .common import LOWER, SPACE_WORDS, fold, held_out, raw_bytes, saved, small_batches, text_array, word_hashes, word_spans
 from .tokens import load_bpe
 
-MOD, HOT, SHARE = 7, 1 << 17, 32
-#: Learning rates of the rounds; steps of 64 windows that a task takes at least, repeating its share if that is short.
-RATES, LEAST_STEPS = (3e-3, 1e-3), 1000
+MOD, HOT = 7, 1 << 17
+#: The share of the training documents that a round trains on, and the number that it takes at least if there are so many.
+SHARE, LEAST_DOCS = 1 / 32, 4000
+#: Learning rates of the rounds; steps of 64 windows up to which a task repeats a short share, and how often at most.
+RATES, LEAST_STEPS, REPEATS = (3e-3, 1e-3), 1000, 3
 ESCAPE, END = attention.CLASSES - 2, attention.CLASSES - 1
 KEPT_IDS = attention.CLASSES - 2
 BATCH = 128
@@ -101,8 +103,8 @@ def _training(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull() & (fold(MOD) != 2))
 
 
-def _share(train: DataFrame, k: int, of: int = SHARE) -> DataFrame:
-    return train.filter(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(of)) == k)
+def _share(train: DataFrame, k: int, share: float) -> DataFrame:
+    return train.filter(F.pmod(F.xxhash64(F.lit(17 + k), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
 def _top_ids(train: DataFrame, tokenizer: str) -> np.ndarray:
@@ -150,7 +152,7 @@ def _counts(train: DataFrame, vocab: Vocabulary, tokenizer: str) -> DataFrame:
     return train.select("text").mapInArrow(run, "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c"))
 
 
-def _train_round(train: DataFrame, k: int, rate: float, least: int, weights: np.ndarray, vocab: Vocabulary, tables, tokenizer: str, fan_in: int = 256) -> np.ndarray:
+def _train_round(train: DataFrame, k: int, share: float, rate: float, least: int, weights: np.ndarray, vocab: Vocabulary, tables, tokenizer: str, fan_in: int = 256) -> np.ndarray:
     """Weights averaged over the tasks' local training on share ``k``."""
     sc = train.sparkSession.sparkContext
     sent = sc.broadcast((weights, vocab, tables))
@@ -178,8 +180,9 @@ def _train_round(train: DataFrame, k: int, rate: float, least: int, weights: np.
                 n_kept += len(x)
         if kept:
             kept = [np.concatenate(t) for t in zip(*kept)]
-            while model.t < least:
-                learn(*kept)
+            for _ in range(1, REPEATS):
+                if model.t < least:
+                    learn(*kept)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(model.flat * np.float64(seen)).astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
 
@@ -191,9 +194,9 @@ def _train_round(train: DataFrame, k: int, rate: float, least: int, weights: np.
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
 
-    share = _share(train, k).select("text")
-    parts = max(1, share.rdd.getNumPartitions() // 4)
-    got = share.coalesce(parts).mapInArrow(local, "n long, w binary")
+    chosen = _share(train, k, share).select("text")
+    parts = max(1, chosen.rdd.getNumPartitions() // 4)
+    got = chosen.coalesce(parts).mapInArrow(local, "n long, w binary")
     while parts > 64:
         parts = max(1, parts // fan_in)
         got = got.coalesce(parts).mapInArrow(total, "n long, w binary")
@@ -210,9 +213,10 @@ def score(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", rates: tuple[fl
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     train = _training(docs)
     size = len(load_bpe(tokenizer).lengths)
-    vocab = Vocabulary(_top_ids(_share(train, 0), tokenizer), size)
-    counts = saved(_counts(train, vocab, tokenizer))
     n_train = train.count()
+    share = min(1.0, max(SHARE, LEAST_DOCS / max(1, n_train)))
+    vocab = Vocabulary(_top_ids(_share(train, 0, share), tokenizer), size)
+    counts = saved(_counts(train, vocab, tokenizer))
     words = counts.filter("kind = 0").select("key", "c")
     n_words, n_distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = n_words + n_train, n_distinct + (n_train > 0)
@@ -225,7 +229,7 @@ def score(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", rates: tuple[fl
     tables = attention.tables_of(pairs.reshape(attention.CLASSES, -1))
     weights = attention.initial()
     for k, rate in enumerate(rates, 1):
-        weights = _train_round(train, k, rate, least_steps, weights, vocab, tables, tokenizer)
+        weights = _train_round(train, k, share, rate, least_steps, weights, vocab, tables, tokenizer)
     # at most ``hot`` words reach the threshold
     few = words.filter(F.col("c") >= max(1, -(-total // hot))).toArrow()
     order = np.argsort(few["key"].to_numpy())
