@@ -216,3 +216,19 @@ def bounded_sample(labelled: DataFrame, klass: str, per_class: int, classes: lis
         )
         ids = part if ids is None else ids.unionByName(part)
     return ids
+
+
+def beside(kept: list[str]) -> list[str]:
+    """The kept columns but the text, which is sent to Python anyhow as column 1."""
+    return [c for c in kept if c != "text"]
+
+
+def passed(batch: pa.RecordBatch, kept: list[str], first: int) -> list[pa.Array]:
+    """The kept columns of a batch whose columns from ``first`` on are ``beside(kept)``."""
+    others = iter(batch.columns[first:])
+    return [batch.column(1) if c == "text" else next(others) for c in kept]
+
+
+def schema_of(docs: DataFrame, kept: list[str]) -> str:
+    """The kept columns for a DDL schema, each after a comma."""
+    return "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)

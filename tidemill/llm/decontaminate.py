@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, LOWER, hash_words, ragged, raw_bytes, small_batches, text_array, word_hashes, word_spans
+from .common import ALNUM_WORDS, LOWER, beside, hash_words, passed, ragged, raw_bytes, schema_of, small_batches, text_array, word_hashes, word_spans
 
 WINDOW, SEGMENT, STEP = 13, 4096, 8
 #: A word-share of 1 / RATIO that is hit makes a document contaminated.
@@ -340,8 +340,8 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: tuple[st
     small_batches(docs.sparkSession)
     query_set = read_benchmark(items)
     kept = [c for c in keep if c != "doc_id"]
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), *kept)
-    cast = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), *beside(kept))
+    cast = schema_of(docs, kept)
     span = pa.struct([("first", pa.int64()), ("past", pa.int64())])
     handle = docs.sparkSession.sparkContext.broadcast(query_set)
 
@@ -353,7 +353,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: tuple[st
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array(per), pa.array(n_hit, pa.int64()), pa.array([[{"first": x, "past": y} for x, y in s] for s in spans], pa.list_(span)),
-                    pa.array([sorted(f, key=str) for f in found], pa.list_(pa.int64())), pa.array([h > 0 and RATIO * h >= n for h, n in zip(n_hit, per.tolist())], pa.bool_()), *b.columns[2:],
+                    pa.array([sorted(f, key=str) for f in found], pa.list_(pa.int64())), pa.array([h > 0 and RATIO * h >= n for h, n in zip(n_hit, per.tolist())], pa.bool_()), *passed(b, kept, 2),
                 ],
                 names=["doc_id", "n_words", "n_hit", "spans", "items", "contaminated", *kept],
             )

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_sample, fold, held_out, raw_bytes, small_batches, text_array
+from .common import LOWER, beside, bounded_sample, fold, held_out, passed, raw_bytes, schema_of, small_batches, text_array
 
 #: Language codes by family.
 FAMILIES = {
@@ -146,8 +146,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, mod: int = 4, keep: tu
     """doc_id, held_out, lang_pred, score (and the columns of ``keep`` besides)."""
     small_batches(docs.sparkSession)
     kept = [c for c in keep if c != "doc_id"]
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), held_out(mod).alias("held_out"), *kept)
-    cast = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), held_out(mod).alias("held_out"), *beside(kept))
+    cast = schema_of(docs, kept)
 
     def run(batches):
         for b in batches:
@@ -159,7 +159,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, mod: int = 4, keep: tu
                 if model is not None and letter.any():
                     a, p = model.predict(features(texts.filter(pa.array(letter))))
                     lang[letter], score[letter] = a, p
-                yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), pa.array(lang, pa.string()), pa.array(score), *s.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *kept])
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), pa.array(lang, pa.string()), pa.array(score), *passed(s, kept, 3)], names=["doc_id", "held_out", "lang_pred", "score", *kept])
 
     return base.mapInArrow(run, f"doc_id long, held_out boolean, lang_pred string, score double{cast}")
 

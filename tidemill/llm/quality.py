@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, bounded_sample, fold, held_out, raw_bytes, small_batches, text_array, word_hashes, word_spans
+from .common import SPACE_WORDS, beside, bounded_sample, fold, held_out, passed, raw_bytes, schema_of, small_batches, text_array, word_hashes, word_spans
 
 FEATURES = ["log_words", "word_len", "long_words", "symbols", "pipes", "upper", "digits", "punct", "bangs", "repeat_words", "top_word", "dup_line_bytes", "line_words", "short_lines", "dup_triples", "newlines"]
 PER_CLASS, THRESHOLD = 10_000, 0.7
@@ -218,15 +218,15 @@ def score(docs: DataFrame, model: AdditiveModel | None, threshold: float = THRES
     """doc_id, held_out, score, predicted (and the columns of ``keep`` besides)."""
     small_batches(docs.sparkSession)
     kept = [c for c in keep if c != "doc_id"]
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), held_out(mod).alias("held_out"), *kept)
-    cast = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), held_out(mod).alias("held_out"), *beside(kept))
+    cast = schema_of(docs, kept)
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 s = b.slice(lo, 512)
                 p = np.full(s.num_rows, 0.5) if model is None else model.score(features(text_array(s, "_text")))
-                yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *s.columns[3:]], names=["doc_id", "held_out", "score", "predicted", *kept])
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *passed(s, kept, 3)], names=["doc_id", "held_out", "score", "predicted", *kept])
 
     return base.mapInArrow(run, f"doc_id long, held_out boolean, score double, predicted int{cast}")
 
