@@ -1 +1 @@
-
+"""Column functions: deterministic and additively homomorphic columns."""

@@ -1 +1 @@
-
+"""Relational, windowed and operational operators on DataFrames."""

@@ -1 +1 @@
-
+"""Composed queries and their catalogue."""

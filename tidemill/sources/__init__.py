@@ -1 +1 @@
-
+"""Sources: delimited files, sockets, paced replay and generators."""
