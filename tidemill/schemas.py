@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "date": T.DateType(), "decimal(15,2)": T.DecimalType(15, 2)}
+
+
+def schema(columns: str) -> T.StructType:
+    """A schema of ``name type, ...``; needs no session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
 
 
 #: Delimited-file layouts, all columns.
