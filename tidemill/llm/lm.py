@@ -262,7 +262,7 @@ def score(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", rates: tuple[fl
                 lp += np.bincount(np.repeat(text[w], mask[w].sum(1)), got, n)
             none = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own), b.column(0), b.column(2), pa.array(per + 1), pa.array(known), pa.array(base), pa.array(lp / math.log(10)), none, none],
+                [pa.array(own), b.column(0), b.column(2), pa.array(per + 1), pa.array(known), pa.array(base.astype(np.float64)), pa.array(lp / math.log(10)), none, none],
                 names=names,
             )
             rare, rd = h[~is_hot], doc[~is_hot]
