@@ -14,11 +14,12 @@ and is linked with nothing.
    whose collision-corrected estimate is below ``threshold - MARGIN`` (four standard
    errors) go; the rest are confirmed on full sets.
 5. Confirmed links give components.  A bucket whose members still lie in several
-   components is looked at again: each member outside the leader's component
-   visits all blocks of its bucket and is estimated against every member of another
-   component, streaming, with one block in memory.  So every pair of a bucket is
-   either compared or already connected; the number of links does not grow with the
-   square of a group.
+   components is looked at again: each member outside the leader's component visits
+   all blocks of its bucket and is estimated against every member of another
+   component, streaming, with one block in memory.  Members that may have such a link
+   come back with their sets, and links are confirmed in the block, skipping what the
+   block has already joined.  So every pair of a bucket is either compared or already
+   connected, and what is written is a row for each member and a tree of links.
 
 Components come from alternating large-star and small-star steps over links, with
 each step written to the shared folder.  Nothing is collected to the driver but
@@ -42,6 +43,8 @@ BANDS, ROWS, MANTISSA = 24, 4, 10
 REGISTERS = BANDS * ROWS
 THRESHOLD, MARGIN = 80, 0.17
 BLOCK = 1024
+#: Bits of the bitmap that goes to the workers (8 MiB).
+BITS = 1 << 26
 _SEEDS = mix64(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MUL = _SEEDS[:REGISTERS], _SEEDS[REGISTERS:] | np.uint64(1)
 
@@ -117,18 +120,35 @@ def sketch(docs: DataFrame, k: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, reg binary")
 
 
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """BITS bits, set at the hashes of the ids; its size does not depend on their number."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("h")
+    words = ids.select(h).groupBy(F.expr("h div 64").cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("b")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out
+
+
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, set (sorted 64-bit hashes) of the documents in ``ids``."""
+    """id, set (sorted 64-bit hashes) of the documents in ``ids``.
+
+    Texts are not shuffled: a bitmap of the ids, of a fixed size, drops most other
+    documents where they lie, and the join drops the rest.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
 
     def run(batches):
         for b in batches:
+            h = b.column(2).to_numpy()
+            b = b.filter(pa.array(sent.value[h >> 6] >> (h & 63) & 1 == 1))
             for lo in range(0, b.num_rows, 200):
                 s = b.slice(lo, 200)
                 sh, off = shingle_sets(text_array(s), k)
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array([sh[x:y].tobytes() for x, y in zip(off[:-1], off[1:])], pa.binary())], names=["id", "set"])
 
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    return few.mapInArrow(run, "id long, set binary")
+    every = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    near = every.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("h")).mapInArrow(run, "id long, set binary")
+    return near.join(ids.select(F.col("doc_id").alias("id")), "id", "left_semi")
 
 
 def _may_link(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
@@ -148,6 +168,13 @@ def _may_link(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    inter = int((both[1:] == both[:-1]).sum())
+    return 100 * inter >= threshold * (len(both) - inter)
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct()
@@ -155,13 +182,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataF
 
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * inter >= threshold * (len(both) - inter))
+            keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             ok = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
@@ -188,48 +209,109 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _unsettled(members: DataFrame, reps: DataFrame, comps: DataFrame, threshold: int, block: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and may reach the threshold."""
+def _meetings(batches, threshold: int):
+    """(row of a visitor, home rows it may link with) within each (key, salt), home rows held, visitors streamed.
+
+    Yields (batch, index, held rows, indices of the held rows that may link, first of key and salt).
+    """
+    at, held, base, fresh = None, [], None, True
+    for b in batches:
+        rows = b.to_pydict()
+        reg = np.frombuffer(b"".join(rows["reg"]), np.uint16).reshape(-1, REGISTERS)
+        for i in range(b.num_rows):
+            here = (rows["key"][i], rows["salt"][i])
+            if here != at:
+                at, held, base, fresh = here, [], None, True
+            if not rows["visits"][i]:
+                held.append({c: v[i] for c, v in rows.items() if c != "reg"} | {"reg": reg[i]})
+                continue
+            if base is None:
+                if not held:
+                    continue
+                base = {c: np.array([h[c] for h in held]) for c in ("rep", "comp", "n", "stray", "reg")}
+            me = rows["rep"][i]
+            # pairs with the leader were tried before; two strays meet twice
+            ok = np.flatnonzero((base["comp"] != rows["comp"][i]) & (base["rep"] != rows["lead"][i]) & (me != rows["lead"][i]) & (~base["stray"] | (me < base["rep"])))
+            if not len(ok):
+                continue
+            same = base["reg"][ok] == reg[i]
+            first = same.reshape(len(ok), BANDS, ROWS).all(2).argmax(1) == rows["band"][i]  # each pair in one bucket only
+            n = np.full(len(ok), rows["n"][i])
+            c = chance(base["n"][ok], n)
+            good = ok[first & likely((same.mean(1) - c) / (1 - c), base["n"][ok], n, threshold)]
+            if len(good):
+                yield {c: v[i] for c, v in rows.items()}, held, good, fresh
+                fresh = False
+
+
+def _open_buckets(members: DataFrame, reps: DataFrame, comps: DataFrame, block: int) -> DataFrame:
+    """Rows of the buckets that hold several components: each member at home in one block, strays visiting all blocks."""
     named = members.join(comps, members["rep"] == comps["node"], "left").select("key", "band", "lead", "rep", F.coalesce("comp", "rep").alias("comp"))
-    # a bucket of one component has nothing left to find
     stats = named.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("rep") == F.col("lead"), F.col("comp"))).alias("main")).filter("lo <> hi").select("key", "m", "main")
     open_ = named.join(stats, "key").join(reps, "rep").select("key", "band", "lead", "rep", "comp", "n", "reg", (F.col("comp") != F.col("main")).alias("stray"), F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     home = open_.select("*", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("salt"), F.lit(False).alias("visits"))
     guest = open_.filter("stray").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(True).alias("visits"))
     columns = ["key", "salt", "visits", "band", "lead", "rep", "comp", "n", "reg", "stray"]
-
-    def run(batches):
-        at, held, base = None, [], None
-        for b in batches:
-            rows = b.to_pydict()
-            reg = np.frombuffer(b"".join(rows["reg"]), np.uint16).reshape(-1, REGISTERS)
-            found = []
-            for i in range(b.num_rows):
-                here = (rows["key"][i], rows["salt"][i])
-                if here != at:
-                    at, held, base = here, [], None
-                if not rows["visits"][i]:
-                    held.append((rows["rep"][i], rows["comp"][i], rows["n"][i], rows["stray"][i], reg[i]))
-                    continue
-                if base is None:
-                    base = [np.array([h[j] for h in held]) for j in range(5)]
-                rep, comp, n, stray, regs = base
-                me, lead, band = rows["rep"][i], rows["lead"][i], rows["band"][i]
-                # pairs with the leader were tried before; two strays meet twice
-                ok = np.flatnonzero((comp != rows["comp"][i]) & (rep != lead) & (me != lead) & (~stray | (me < rep)))
-                if not len(ok):
-                    continue
-                same = regs[ok] == reg[i]
-                first = same.reshape(len(ok), BANDS, ROWS).all(2).argmax(1) == band  # each pair in one bucket only
-                c = chance(n[ok], np.full(len(ok), rows["n"][i]))
-                est = (same.mean(1) - c) / (1 - c)
-                good = first & likely(est, n[ok], np.full(len(ok), rows["n"][i]), threshold)
-                found += [(min(me, r), max(me, r)) for r in rep[ok[good]].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
-
-    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = home.select(*columns).union(guest.select(*columns)).repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "visits")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return home.select(*columns).union(guest.select(*columns))
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "visits")
+
+
+def _late_links(rows: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame | None:
+    """Links between components that share a bucket: first the members that may have one, then these with their sets."""
+    rows = saved(rows)
+
+    def involved(batches):
+        """key, salt, visits, rep of rows with a possible link; a row once for each block."""
+        def flush(found):
+            cols = list(zip(*found)) if found else [[], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.bool_(), pa.int64()))], names=["key", "salt", "visits", "rep"])
+
+        seen, out = set(), []
+        for me, held, good, fresh in _meetings(batches, threshold):
+            if fresh:
+                seen = set()
+            out.append((me["key"], me["salt"], True, me["rep"]))
+            for j in good.tolist():
+                if j not in seen:
+                    seen.add(j)
+                    out.append((me["key"], me["salt"], False, held[j]["rep"]))
+            if len(out) > 20_000:
+                yield flush(out)
+                out = []
+        yield flush(out)
+
+    some = saved(_grouped(rows).mapInArrow(involved, "key long, salt int, visits boolean, rep long"))
+    if some.isEmpty():
+        return None
+    sets = _sets(docs, some.select(F.col("rep").alias("doc_id")).distinct(), k)
+    full = rows.join(some, ["key", "salt", "visits", "rep"]).join(sets.select(F.col("id").alias("rep"), "set"), "rep")
+
+    def confirm(batches):
+        """a, b of confirmed links; members already joined within the block are not compared again."""
+        group: dict[int, int] = {}
+        out = []
+
+        def find(x):
+            while group.get(x, x) != x:
+                x = group[x]
+            return x
+
+        for me, held, good, fresh in _meetings(batches, threshold):
+            if fresh:
+                group = {}
+            mine = np.frombuffer(me["set"], np.uint64)
+            for j in good.tolist():
+                a, b = find(me["comp"]), find(held[j]["comp"])
+                if a != b and _linked(mine, np.frombuffer(held[j]["set"], np.uint64), threshold):
+                    group[max(a, b)] = min(a, b)
+                    out.append((min(me["rep"], held[j]["rep"]), max(me["rep"], held[j]["rep"])))
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+
+    return _grouped(full.select(*rows.columns, "set")).mapInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -245,10 +327,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, threshold: int = THRESHOLD, blo
     stars = members.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     links = saved(_confirm(saved(_may_link(stars, look_up, threshold)), docs, k, threshold))
     comps = components(links)
-    more = saved(_unsettled(members, look_up, comps, threshold, block))
-    if not more.isEmpty():
-        found = _confirm(more, docs, k, threshold)
-        comps = components(links.unionByName(found))
+    late = _late_links(_open_buckets(members, look_up, comps, block), docs, k, threshold)
+    if late is not None:
+        comps = components(links.unionByName(late))
     of_rep = reps.filter("copies > 1").select("f1", "f2", F.col("n").alias("_n"), "rep")
     alone = sketches.join(of_rep, (sketches["f1"] == of_rep["f1"]) & (sketches["f2"] == of_rep["f2"]) & (sketches["n"] == of_rep["_n"]), "left")
     base = alone.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("_rep"))
