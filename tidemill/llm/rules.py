@@ -20,7 +20,7 @@ ignored; empty tables give no rows; without labels all rules are off.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -96,7 +96,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     sums = rates.groupBy("lang").agg(F.sum("quality").cast("long").alias("n1"), F.sum(1 - F.col("quality")).cast("long").alias("n0"), *over)
     cells = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(g).alias("cut"), F.col(f"{r}_{g}_1").alias("k1"), F.col(f"{r}_{g}_0").alias("k0")) for r in RULES for g in GRID])).alias("c")
     p = alpha / len(RULES)
-    tests = sums.crossJoin(sums.agg(F.count("*").alias("strata"))).select("lang", "n1", "n0", "strata", cells).select("lang", "n1", "n0", "strata", "c.*")
+    strata = F.count("*").over(Window.partitionBy(F.lit(0))).alias("strata")  # one row for each language
+    tests = sums.select("*", strata).select("lang", "n1", "n0", "strata", cells).select("lang", "n1", "n0", "strata", "c.*")
     level = F.lit(delta) / (F.col("strata") * (len(RULES) * len(GRID)))
     # above the mean the tail is over one half, so it need not be summed
     tail = F.expr(f"if(k1 > {p}D * n1, 1D, {binomial_tail('k1', 'n1', p)})")
