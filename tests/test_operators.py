@@ -38,6 +38,12 @@ def test_relations_have_the_star_columns():
     assert all(set(c) <= set(RELATIONS[t].names) for t, c in STAR_COLUMNS.items())
 
 
+def test_provider_records_and_configuration(spark, rows):
+    got = readers.provider_records(lines(spark, "id|name", "{1|Ann|pln|DET}", "2|Bob", "short"), ["id", "name"], header="id|name")
+    assert rows(got) == [("1", "Ann", "pln DET pln pln pln"), ("2", "Bob", "pln pln pln pln pln")]
+    assert rows(readers.config_rows(lines(spark, "policy;a, b", "none"))) == [("policy", ["a", "b"])]
+
+
 def test_arrival_times(spark):
     df = spark.range(1, 7).select(readers.arrival_ms(F.col("id"), [2.0, 4.0], [0.0, 1.0]).alias("t")).orderBy("t")
     assert [r.t for r in df.collect()] == [500.0, 1000.0, 1250.0, 1500.0, 1750.0, 2000.0]

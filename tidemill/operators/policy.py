@@ -52,3 +52,18 @@ def tag_counts(df: DataFrame, tags: str, by: list[str] | None = None) -> DataFra
     """Records by encryption tag of a space-separated list."""
     each = df.select(*(by or []), F.explode(F.split(tags, " ")).alias("tag"))
     return each.filter(F.col("tag").isin(*PERMISSIONS.values())).groupBy(*(by or []), "tag").agg(F.count("*").alias("n"))
+
+
+def select_in_force(data: DataFrame, policies: DataFrame, by: list[str], ts: str, effective: str, threshold: str, column: str) -> DataFrame:
+    """Rows above the threshold that is in force at their time; all rows while none is.
+
+    A predicate that changes while a stream runs is a versioned table, so results do
+    not depend on when an update arrives at an operator.
+    """
+    now = in_force(data, policies, by, ts, effective, threshold)
+    return now.filter(F.col(threshold).isNull() | (F.col(column) > F.col(threshold))).drop(threshold)
+
+
+def reveal(data: DataFrame, policies: DataFrame, by: list[str], cipher: str, plain: Column, name: str) -> DataFrame:
+    """The decrypted column where the latest permission is plain (or none is stated), else NULL."""
+    return data.join(policies.select(*by, F.col("permission").alias("_permission")), by, "left").select(*[c for c in data.columns if c != cipher], permitted(F.col(cipher), F.col("_permission"), plain).alias(name))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import secure
 from ..operators import aggregates, metrics, policy, relational, topology, window_join
-from ..operators.sequencing import millis
-from ..sources import generators
+from ..operators.sequencing import millis, with_sequence
+from ..sources import generators, readers
 from ..sources.readers import parquet
 from . import star
 
@@ -382,6 +382,35 @@ def policy_in_force(spark, d):
     return policy.in_force(events(spark, d, "click").select("event_id", "user_id", "ms"), rules, ["user_id"], "ms", "ms", "permission").select("event_id", "user_id", "permission")
 
 
+@query(f"""WITH {_E}, p AS (SELECT y.event_id, y.user_id, y.v, (SELECT arg_max(x.event_id % 60, x.ms) FROM e x WHERE x.event_type = 'signup' AND x.user_id = y.user_id AND x.ms <= y.ms) AS t FROM e y WHERE y.event_type = 'click')
+SELECT event_id, user_id, v FROM p WHERE t IS NULL OR v > t""")
+def policy_predicate(spark, d):
+    rules = events(spark, d, "signup").select("user_id", "ms", (F.col("event_id") % 60).alias("t"))
+    return policy.select_in_force(events(spark, d, "click").select("event_id", "user_id", "ms", "v"), rules, ["user_id"], "ms", "ms", "t", "v").select("event_id", "user_id", "v")
+
+
+@query("""WITH p AS (SELECT user_id, arg_max(event_id % 3, event_id) AS permission FROM events WHERE event_type = 'signup' GROUP BY user_id)
+SELECT event_id, user_id, CASE WHEN coalesce(permission, 0) = 0 THEN event_type END AS shown FROM events LEFT JOIN p USING (user_id)""")
+def policy_reveal(spark, d):
+    e = parquet(spark, d, "events", ["event_id", "user_id", "event_type"])
+    rules = policy.latest(e.filter("event_type = 'signup'").select("user_id", "event_id", (F.col("event_id") % 3).alias("permission")), ["user_id"], "event_id", ["permission"])
+    hidden = e.select("event_id", "user_id", secure.det_encrypt(F.col("event_type"), KEY).alias("c"))
+    return policy.reveal(hidden, rules, ["user_id"], "c", secure.det_decrypt(F.col("c"), KEY), "shown")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click'")
+def det_select(spark, d):
+    hidden = parquet(spark, d, "events").select("event_id", secure.det_encrypt(F.col("event_type"), KEY).alias("c"))
+    return hidden.filter(F.col("c") == secure.det_encrypt(F.lit("click"), KEY)).select("event_id")
+
+
+@query("""WITH q AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS seq FROM events)
+SELECT event_id, CASE WHEN seq <= 2400 THEN seq * 10.0 ELSE 24000 + (seq - 2400) * 5.0 END::DOUBLE AS arrival_ms FROM q""")
+def paced_arrival(spark, d):
+    numbered, _ = with_sequence(parquet(spark, d, "events", ["event_id"]), "event_id")
+    return numbered.select("event_id", readers.arrival_ms(F.col("seq"), [100, 200], [0, 24]).alias("arrival_ms"))
+
+
 @query("SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey")
 def det_join(spark, d):
     o = parquet(spark, d, "orders", ["o_orderkey", "o_custkey"]).select("o_orderkey", secure.det_encrypt(F.col("o_custkey"), KEY).alias("k"))

@@ -97,3 +97,25 @@ def arrival_ms(seq: Column, rates: Sequence[float], checkpoints: Sequence[float]
         at = F.lit(start * 1000.0) + (seq - F.lit(before)) * F.lit(1000.0 / rate)
         out = at if out is None else F.when(seq <= F.lit(before + n), at).otherwise(out)
     return F.round(out, 6)
+
+
+def provider_records(lines: DataFrame, fields: Sequence[str], header: str | None = None, tags: int = 5) -> DataFrame:
+    """Records of a data provider: ``{a|b|...}`` lines with up to ``tags`` encryption tags after the fields.
+
+    The header line is dropped wherever a split begins; missing tags are padded with
+    ``pln``.  Columns: the fields and ``enc``, the tags joined by spaces.
+    """
+    body = F.regexp_replace("value", r"^\s*\{|\}\s*$", "")
+    p = F.split(body, r"\|", -1)
+    n = len(fields)
+    tag = [F.coalesce(F.nullif(F.trim(F.get(p, F.lit(n + i))), F.lit("")), F.lit("pln")) for i in range(tags)]
+    ok = F.size(p) >= n
+    if header is not None:
+        ok = ok & (F.trim("value") != F.lit(header))
+    return lines.filter(ok).select(*[F.trim(F.get(p, F.lit(i))).alias(f) for i, f in enumerate(fields)], F.concat_ws(" ", *tag).alias("enc"))
+
+
+def config_rows(lines: DataFrame) -> DataFrame:
+    """section, fields of ``section;a,b,c`` configuration lines; others are skipped."""
+    p = F.split("value", ";", 2)
+    return lines.filter(F.size(p) == 2).select(F.trim(F.get(p, F.lit(0))).alias("section"), F.transform(F.split(F.get(p, F.lit(1)), ","), lambda x: F.trim(x)).alias("fields"))
