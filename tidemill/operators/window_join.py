@@ -132,16 +132,12 @@ def count_window_join(left: DataFrame, right: DataFrame, key: str, order: str, s
     """
     if size < 1:
         raise ValueError("the window must hold at least one row")
-    tag = lambda df, side: df.select(F.col(order).alias("_o"), F.lit(side).alias("_side"))
-    both, _ = running(tag(left, 0).union(tag(right, 1)), "_o", {"_nl": ("sum", (F.col("_side") == 0).cast("long")), "_nr": ("sum", (F.col("_side") == 1).cast("long"))})
-    mine = both.select("_o", "_side", "_nl", "_nr")
-
-    def named(df, side, p):
-        cols = [F.col(c).alias(f"{p}_{c}") for c in df.columns if c != key]
-        at = mine.filter(F.col("_side") == side).drop("_side")
-        return df.select(normal(F.col(key)).alias("key"), *cols, F.col(order).alias("_ord")).join(at, F.col("_ord") == F.col("_o")).drop("_o", "_ord")
-
-    l, r = named(left, 0, "l"), named(right, 1, "r")
+    # both sides are numbered in one pass that carries their columns, so nothing is joined back
+    tag = lambda df, side, p: df.select(normal(F.col(key)).alias("key"), F.col(order).alias("_o"), F.lit(side).alias("_side"), *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != key])
+    both = tag(left, 0, "l").unionByName(tag(right, 1, "r"), allowMissingColumns=True)
+    both, _ = running(both, "_o", {"_nl": ("sum", (F.col("_side") == 0).cast("long")), "_nr": ("sum", (F.col("_side") == 1).cast("long"))})
+    pick = lambda side, p: both.filter(F.col("_side") == side).select("key", "_nl", "_nr", *[c for c in both.columns if c.startswith(f"{p}_")])
+    l, r = pick(0, "l"), pick(1, "r")
 
     def one(stored, probes, own, other):
         s = stored.withColumn("_pos", F.col(own)).drop("_nl", "_nr")
