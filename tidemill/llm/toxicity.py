@@ -8,7 +8,7 @@ matches are summed and also divided by the text's length; a logistic curve of bo
 gives the score.
 
 Learning reads a bounded sample of labelled rows that are not held out
-(``per_class`` of each label).  Near copies within the sample are left out.  Terms
+(``per_class`` of each label, texts of at most ``LEARN_BYTES``).  Near copies within the sample are left out.  Terms
 are chosen on one half by their smoothed log odds; exceptions are neighbours that
 a term has in clean texts only; the curve is fitted on the other half.  Null and
 empty texts have no match and get the score of such texts; without labels all
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, fold as id_fold, held_out, small_batches, text_array
 
 PER_CLASS, THRESHOLD = 4_000, 0.3
+#: Learning leaves out longer texts, so that the sample fits the driver; scoring reads all texts whole.
+LEARN_BYTES = 1 << 15
 #: Characters that stand for a Latin letter.
 LOOK_ALIKE = {
     "a": "а@4ａαɑ", "b": "Ьｂ", "c": "сｃϲ", "d": "ԁｄ", "e": "е3ｅε", "f": "ｆ", "g": "ɡｇ9", "h": "һｈ", "i": "і1!ｉıι",
@@ -192,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, mod: i
         return None
     ids = bounded_sample(marked, "toxic", per_class, [0, 1])
     few = F.broadcast(marked.join(ids.distinct(), "doc_id", "left_semi"))
-    got = docs.select("doc_id", "text").filter("text is not null").join(few, "doc_id").select("doc_id", "toxic", "text").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    got = docs.select("doc_id", "text").filter(F.octet_length("text") <= LEARN_BYTES).join(few, "doc_id").select("doc_id", "toxic", "text").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     if not 0 < sum(y := got["toxic"].to_pylist()) < len(y):
         return None
     return Lexicon.fit(got["text"].to_pylist(), y, counts[1] / (counts[0] + counts[1]))
