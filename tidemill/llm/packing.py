@@ -32,6 +32,8 @@ from .tokens import load_bpe
 WINDOW, END_ID = 2048, 1
 SENTENCE, INSIDE, GAP = 16.0, 48.0, 192
 RUN_IDS = 1 << 20
+#: Texts that are encoded at a time, and distinct pieces whose ids a worker remembers.
+SLICE, KEEP = 500, 250_000
 
 
 def _sentence_tables(lengths: np.ndarray, ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +143,9 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", window: int = WI
             return serial + len(cuts) - 1
 
         parts, sizes, keys, held = [], [], [], 0
-        for b in batches:
-            ids, off = bpe.encode_column(text_array(b), tail=END_ID)
+        for b in (x.slice(lo, SLICE) for x in batches for lo in range(0, x.num_rows, SLICE)):
+            ids, off = bpe.encode_column(text_array(b), tail=END_ID, keep=KEEP)
+            pa.default_memory_pool().release_unused()
             first = 0
             while first < b.num_rows:  # a run takes documents until it is full
                 last = int(np.searchsorted(off, off[first] + max(1, run_ids - held)))
