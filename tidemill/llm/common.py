@@ -40,13 +40,6 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_saved(spark: SparkSession, *paths: str) -> None:
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def fold(mod: int, id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``mod``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod
