@@ -13,7 +13,7 @@ import numpy as np
 
 GROUPS, MEMBERS = 32, 32
 CLASSES = GROUPS * MEMBERS
-WIDTH, HEADS, HIDDEN, LENGTH, OVERLAP = 24, 2, 24, 32, 6
+WIDTH, HEADS, HIDDEN, LENGTH, OVERLAP = 24, 2, 24, 24, 4
 SHAPES = {
     "e": (CLASSES, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "r": (HEADS, LENGTH),
     "w1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, WIDTH), "g": (WIDTH, GROUPS), "m": (GROUPS, WIDTH, MEMBERS),
@@ -50,12 +50,16 @@ def _hidden(p: dict, x: np.ndarray, normal: bool = False):
     """Activations of windows; ``normal`` also divides the attention weights, which only gradients need."""
     n, length = x.shape
     flat = p["e"].take(x.ravel(), 0)
-    heads = lambda t: t.reshape(n, length, HEADS, -1).transpose(0, 2, 1, 3)
-    q, k = heads(flat @ (p["q"] * np.float32((WIDTH // HEADS) ** -0.5))), heads(flat @ p["k"])
-    v = np.ones((n, HEADS, length, WIDTH // HEADS + 1), np.float32)
-    v[..., :-1] = heads(flat @ p["v"])
+    dh = WIDTH // HEADS
+    one = np.zeros((WIDTH, HEADS * (3 * dh + 1)), np.float32)
+    wide = one.reshape(WIDTH, HEADS, 3 * dh + 1)
+    for j, (name, scale) in enumerate((("q", dh**-0.5), ("k", 1.0), ("v", 1.0))):
+        wide[:, :, j * dh : (j + 1) * dh] = p[name].reshape(WIDTH, HEADS, dh) * np.float32(scale)
+    qkv = (flat @ one).reshape(n, length, HEADS, 3 * dh + 1)
+    qkv[..., -1] = 1
+    qkv = qkv.transpose(0, 2, 1, 3)
+    q, k, v = qkv[..., :dh], qkv[..., dh : 2 * dh], qkv[..., 2 * dh :]
     a = np.matmul(q, k.transpose(0, 1, 3, 2))
-    np.minimum(a, np.float32(50), out=a)
     np.exp(a, out=a)
     a *= np.exp(p["r"])[:, _DISTANCE[:length, :length]] * _CAUSAL[:length, :length]
     mixed = np.matmul(a, v)  # the last column is the sum of the weights

@@ -46,12 +46,12 @@ from .tokens import load_bpe
 
 MOD, HOT = 7, 1 << 17
 #: The share of the training documents that a round trains on, and the number that it takes at least if there are so many.
-SHARE, LEAST_DOCS = 1 / 32, 4000
+SHARE, LEAST_DOCS = 1 / 64, 4000
 #: Learning rates of the rounds; steps of 64 windows up to which a task repeats a short share, and how often at most.
-RATES, LEAST_STEPS, REPEATS = (3e-3, 1e-3), 1000, 3
+RATES, LEAST_STEPS, REPEATS = (3e-3, 1e-3), 400, 3
 ESCAPE, END = attention.CLASSES - 2, attention.CLASSES - 1
 KEPT_IDS = attention.CLASSES - 2
-BATCH = 128
+BATCH = 256
 
 
 def normal_texts(texts: pa.Array) -> pa.Array:
