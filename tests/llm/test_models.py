@@ -79,6 +79,14 @@ def test_windows_mask_every_token_once():
         assert all(b == (999 if a in first else a - 1) for a, b in zip(y[mask].tolist(), x[mask].tolist()))
 
 
+def test_windows_overlap_by_enough_context():
+    s = np.arange(200)
+    x, y, mask, _ = attention.windows(s, np.array([0, 200]), 999)
+    assert attention.LENGTH >= 32
+    for seen, m in zip(x[1:], mask[1:]):
+        assert m.argmax() >= 6 and (np.diff(seen[: m.argmax() + 1]) == 1).all()
+
+
 def test_lm_scores(spark):
     rng = random.Random(5)
     rows = odd([(i, prose(rng, "en", rng.randint(1, 60)), "en", "s", 1) for i in range(300)])
@@ -96,6 +104,24 @@ def test_lm_scores(spark):
     assert lm.score(df.limit(0), least_steps=1).collect() == []
 
 
+def test_lm_learns_from_every_training_document_once(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou") + rng.choice("bcdfgklmnprst") for _ in range(4))) for i in range(9000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    rounds, classes = [], []
+    train_round, vocabulary = lm._train_round, lm.Vocabulary.__init__
+    monkeypatch.setattr(lm, "_train_round", lambda chosen, *rest: (rounds.append(chosen.count()), train_round(chosen, *rest))[1])
+    monkeypatch.setattr(lm.Vocabulary, "__init__", lambda self, ids, size: (classes.append(ids.tolist()), vocabulary(self, ids, size))[1])
+    assert lm.score(df, hot=8).count() == len(docs)
+    train = [t for i, t in docs if in_training(i, 7)]
+    assert sum(rounds) == len(train) and min(rounds) > len(train) / 3
+    counts = collections.Counter()
+    bpe = lm.load_bpe("byte_bpe_50k.json")
+    ids, _ = bpe.encode_column(lm.normal_texts(pa.array(train, pa.large_string())))
+    counts.update(ids.tolist())
+    assert classes == [[i for i, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: lm.KEPT_IDS]]]
+
+
 def test_language_identification(spark):
     rng = random.Random(6)
     rows = odd([(i, prose(rng, lang := rng.choice(list(WORDS)), rng.randint(8, 60)), lang, "s", 1) for i in range(400)])

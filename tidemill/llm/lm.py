@@ -7,13 +7,14 @@ held out of all learning.
 
 Passes over the texts:
 
-1. on a share of the training documents: id counts, from which the classes
-   are chosen;
-2. on all training documents: word counts (by 64-bit hash), id counts and class
-   bigrams, aggregated in Spark;
-3. once for each of ``RATES``, each time on another share of the training documents: every
-   task trains the attention model from the common weights and the weights are
-   averaged by tokens, in two steps of bounded fan-in;
+1. on all training documents: the ids, which are written to the shared folder, and
+   word counts (by 64-bit hash), aggregated in Spark;
+2. on all these ids: id counts, from which the classes are chosen, then class
+   bigrams;
+3. a round for each of ``RATES``.  The rounds deal the training documents out among
+   them, so that each is learned from once: every task trains the attention model from
+   the common weights on what it reads and the weights are averaged by tokens, in
+   steps of bounded fan-in;
 4. on all documents: scores.  Overlapping windows, batched, with a mask so that
    every token is scored once.
 
@@ -45,10 +46,8 @@ from .common import LOWER, SPACE_WORDS, fold, held_out, raw_bytes, saved, small_
 from .tokens import load_bpe
 
 MOD, HOT = 7, 1 << 17
-#: The share of the training documents that a round trains on, and the number that it takes at least if there are so many.
-SHARE, LEAST_DOCS = 1 / 64, 4000
-#: Learning rates of the rounds; steps of 64 windows up to which a task repeats a short share, and how often at most.
-RATES, LEAST_STEPS, REPEATS = (3e-3, 1e-3), 400, 3
+#: Learning rates of the rounds.
+RATES = (3e-3, 1e-3)
 ESCAPE, END = attention.CLASSES - 2, attention.CLASSES - 1
 KEPT_IDS = attention.CLASSES - 2
 BATCH = 256
@@ -103,63 +102,98 @@ def _training(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull() & (fold(MOD) != 2))
 
 
-def _share(train: DataFrame, k: int, share: float) -> DataFrame:
-    return train.filter(F.pmod(F.xxhash64(F.lit(17 + k), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+def _id_type(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
 
 
-def _top_ids(train: DataFrame, tokenizer: str) -> np.ndarray:
+def _encoded(train: DataFrame, rounds: int, tokenizer: str) -> DataFrame:
+    """round, ids of all training documents; each document is in one round."""
+
     def run(batches):
         bpe = load_bpe(tokenizer)
-        total = np.zeros(len(bpe.lengths), np.int64)
+        kind = _id_type(len(bpe.lengths))
+        for b in _slices(batches):
+            ids, off = bpe.encode_column(normal_texts(text_array(b)))
+            ids = np.asarray(ids).astype(kind)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ids[x:y].tobytes() for x, y in zip(off[:-1], off[1:])], pa.binary())], names=["round", "ids"])
+
+    dealt = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(max(1, rounds))).cast("int").alias("round")
+    return train.select(dealt, "text").mapInArrow(run, "round int, ids binary")
+
+
+def _ids_of(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, n + 1 offsets) of the rows of a batch of encoded documents."""
+    rows = batch.column(0).to_pylist()
+    kind = np.dtype(_id_type(size))
+    off = np.cumsum([0, *map(len, rows)]) // kind.itemsize
+    return np.frombuffer(b"".join(rows), kind), off
+
+
+def _id_counts(encoded: DataFrame, size: int) -> np.ndarray:
+    """Occurrences of every id in all training texts."""
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
         for b in _slices(batches):
-            ids, _ = bpe.encode_column(normal_texts(text_array(b)))
-            total += np.bincount(ids, minlength=len(total))
+            total += np.bincount(_ids_of(b, size)[0], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "c"])
 
-    # at most one row for each id of the vocabulary, sorted in Spark
-    rows = train.select("text").mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "id").limit(KEPT_IDS).collect()
-    return np.array([r[0] for r in rows], np.int64)
+    # at most one row for each id of the vocabulary
+    rows = encoded.select("ids").mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[rows["id"].to_numpy()] = rows["c"].to_numpy()
+    return out
 
 
-def _counts(train: DataFrame, vocab: Vocabulary, tokenizer: str) -> DataFrame:
-    """kind (0: word hash, 1: BPE id, 2: class pair), key, c over all training texts."""
+def _top_ids(counts: np.ndarray) -> np.ndarray:
+    order = np.lexsort((np.arange(len(counts)), -counts))[:KEPT_IDS]
+    return order[counts[order] > 0]
 
-    def run(batches):
-        bpe = load_bpe(tokenizer)
-        id_counts = np.zeros(len(bpe.lengths), np.int64)
-        pairs = np.zeros(attention.CLASSES**2, np.int32)
 
-        def rows(kind, key, c):
+def _word_counts(train: DataFrame) -> DataFrame:
+    """key (word hash), c over all training texts."""
+
+    def run(batches):
+        for b in _slices(batches):
+            key, c = np.unique(word_hash_rows(text_array(b))[0], return_counts=True)
             for lo in range(0, len(key), 100_000):
-                k = key[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(c[lo : lo + 100_000].astype(np.int64))], names=["kind", "key", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + 100_000]), pa.array(c[lo : lo + 100_000].astype(np.int64))], names=["key", "c"])
+
+    return train.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
+
+def _pair_counts(encoded: DataFrame, vocab: Vocabulary, size: int) -> np.ndarray:
+    """Class pairs of all training texts, by previous class and class."""
+
+    def run(batches):
+        pairs = np.zeros(attention.CLASSES**2, np.int64)
         for b in _slices(batches):
-            texts = text_array(b)
-            h, _ = word_hash_rows(texts)
-            yield from rows(0, *np.unique(h, return_counts=True))
-            ids, off = bpe.encode_column(normal_texts(texts))
-            id_counts += np.bincount(ids, minlength=len(id_counts))
-            s, so = vocab.classes(ids, off)
+            s, _ = vocab.classes(*_ids_of(b, size))
             prev = np.concatenate([[END], s[:-1]])
-            pairs += np.bincount(prev * attention.CLASSES + s, minlength=len(pairs)).astype(np.int32)
-        at = np.flatnonzero(id_counts)
-        yield from rows(1, at, id_counts[at])
+            pairs += np.bincount(prev * attention.CLASSES + s, minlength=len(pairs))
         at = np.flatnonzero(pairs)
-        yield from rows(2, at, pairs[at])
+        for lo in range(0, len(at), 100_000):
+            k = at[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(pairs[k])], names=["key", "c"])
+
+    # bounded by the square of the classes
+    rows = encoded.select("ids").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(attention.CLASSES**2, np.int64)
+    out[rows["key"].to_numpy()] = rows["c"].to_numpy()
+    return out.reshape(attention.CLASSES, -1)
 
-    return train.select("text").mapInArrow(run, "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c"))
 
+def _train_round(chosen: DataFrame, k: int, rate: float, least: int, weights: np.ndarray, vocab: Vocabulary, tables, size: int, fan_in: int = 64) -> np.ndarray:
+    """Weights averaged over the tasks' local training on the documents of round ``k``.
 
-def _train_round(train: DataFrame, k: int, share: float, rate: float, least: int, weights: np.ndarray, vocab: Vocabulary, tables, tokenizer: str, fan_in: int = 256) -> np.ndarray:
-    """Weights averaged over the tasks' local training on share ``k``."""
-    sc = train.sparkSession.sparkContext
+    A task learns from each of its documents once, and again until it has made ``least`` steps.
+    """
+    sc = chosen.sparkSession.sparkContext
     sent = sc.broadcast((weights, vocab, tables))
 
     def local(batches):
         _single_thread()
-        bpe = load_bpe(tokenizer)
         start, vocab, tables = sent.value
         model, seen, kept, n_kept = attention.Adam(start, rate), 0, [], 0
         rng = np.random.default_rng([k, TaskContext.get().partitionId()])
@@ -171,7 +205,7 @@ def _train_round(train: DataFrame, k: int, share: float, rate: float, least: int
                 model.step(attention.gradient(model.flat, tables, x[w].astype(np.int64), y[w].astype(np.int64), mask[w]))
 
         for b in _slices(batches, 100):
-            s, so = vocab.classes(*bpe.encode_column(normal_texts(text_array(b))))
+            s, so = vocab.classes(*_ids_of(b, size))
             x, y, mask, _ = attention.windows(s, so, END)
             learn(x, y, mask)
             seen += len(s)
@@ -180,9 +214,8 @@ def _train_round(train: DataFrame, k: int, share: float, rate: float, least: int
                 n_kept += len(x)
         if kept:
             kept = [np.concatenate(t) for t in zip(*kept)]
-            for _ in range(1, REPEATS):
-                if model.t < least:
-                    learn(*kept)
+            while model.t < least:
+                learn(*kept)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(model.flat * np.float64(seen)).astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
 
@@ -194,18 +227,18 @@ def _train_round(train: DataFrame, k: int, share: float, rate: float, least: int
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
 
-    chosen = _share(train, k, share).select("text")
-    parts = max(1, chosen.rdd.getNumPartitions() // 4)
-    got = chosen.coalesce(parts).mapInArrow(local, "n long, w binary")
-    while parts > 64:
-        parts = max(1, parts // fan_in)
-        got = got.coalesce(parts).mapInArrow(total, "n long, w binary")
+    chosen = chosen.select("ids")
+    parts = chosen.rdd.getNumPartitions()
+    got = chosen.mapInArrow(local, "n long, w binary")
+    while parts > fan_in:  # a shuffle, so that training keeps its tasks
+        parts = -(-parts // fan_in)
+        got = got.repartition(parts).mapInArrow(total, "n long, w binary")
     rows = got.collect()
     n = sum(r[0] for r in rows)
     return (sum(np.frombuffer(r[1], np.float32).astype(np.float64) for r in rows) / n).astype(np.float32) if n else weights
 
 
-def score(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", rates: tuple[float, ...] = RATES, least_steps: int = LEAST_STEPS, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", rates: tuple[float, ...] = RATES, least_steps: int = 0, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -214,22 +247,17 @@ def score(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", rates: tuple[fl
     train = _training(docs)
     size = len(load_bpe(tokenizer).lengths)
     n_train = train.count()
-    share = min(1.0, max(SHARE, LEAST_DOCS / max(1, n_train)))
-    vocab = Vocabulary(_top_ids(_share(train, 0, share), tokenizer), size)
-    counts = saved(_counts(train, vocab, tokenizer))
-    words = counts.filter("kind = 0").select("key", "c")
+    encoded = saved(_encoded(train, len(rates), tokenizer))
+    id_counts = _id_counts(encoded, size)
+    vocab = Vocabulary(_top_ids(id_counts), size)
+    vocab.set_tail(id_counts)
+    tables = attention.tables_of(_pair_counts(encoded, vocab, size))
+    words = saved(_word_counts(train))
     n_words, n_distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = n_words + n_train, n_distinct + (n_train > 0)
-    small = counts.filter("kind <> 0").toArrow()  # bounded by the vocabulary and the class pairs
-    kind, key, c = (small[x].to_numpy() for x in ("kind", "key", "c"))
-    id_counts, pairs = np.zeros(size, np.int64), np.zeros(attention.CLASSES**2, np.int64)
-    id_counts[key[kind == 1]] = c[kind == 1]
-    pairs[key[kind == 2]] = c[kind == 2]
-    vocab.set_tail(id_counts)
-    tables = attention.tables_of(pairs.reshape(attention.CLASSES, -1))
     weights = attention.initial()
-    for k, rate in enumerate(rates, 1):
-        weights = _train_round(train, k, share, rate, least_steps, weights, vocab, tables, tokenizer)
+    for k, rate in enumerate(rates):
+        weights = _train_round(encoded.filter(F.col("round") == k), k, rate, least_steps, weights, vocab, tables, size)
     # at most ``hot`` words reach the threshold
     few = words.filter(F.col("c") >= max(1, -(-total // hot))).toArrow()
     order = np.argsort(few["key"].to_numpy())
