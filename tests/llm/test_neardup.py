@@ -1,5 +1,6 @@
 """Near-duplicates against all pairs; registers and estimates."""
 
+import math
 import random
 import re
 
@@ -86,6 +87,17 @@ def test_estimates_follow_the_similarity():
         assert abs(np.mean(got) - len(shared) / max(1, len(shared) + len(a) + len(b))) < 0.03
 
 
+def test_margin_costs_less_than_buckets():
+    size = np.array([1000])
+    a = np.zeros((1, n.REGISTERS), np.uint16)
+    lost = 0.0
+    for same in range(n.REGISTERS + 1):
+        b = (np.arange(n.REGISTERS) >= same).astype(np.uint16)[None, :]
+        if not n.likely(n.estimate(a, b, size, size), size, size, n.THRESHOLD)[0]:
+            lost += math.comb(n.REGISTERS, same) * 0.8**same * 0.2 ** (n.REGISTERS - same)
+    assert lost < 1e-7
+
+
 def test_shingle_sets():
     t = ["A b c d E", "a b", "", "x x x x x x"]
     flat, off = n.shingle_sets(pa.array(t, pa.large_string()), 4)

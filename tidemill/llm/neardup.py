@@ -11,8 +11,9 @@ and is linked with nothing.
 3. Bands of ``ROWS`` registers are bucket keys.  A pair of similarity 0.8 shares no
    bucket with probability (1 - 0.8 ** ROWS) ** BANDS, about 3e-6.
 4. Every member of a bucket is paired with the bucket's smallest member only.  Pairs
-   whose collision-corrected estimate is below ``threshold - MARGIN`` (four standard
-   errors) go; the rest are confirmed on full sets.
+   whose collision-corrected estimate is below ``threshold - MARGIN`` (six standard
+   errors) go, a pair of similarity 0.8 with probability 1e-8; the rest are confirmed on
+   full sets.  Either way such a pair is missed with probability 3.3e-6 at most.
 5. Confirmed links give components.  A bucket whose members still lie in several
    components is looked at again: each member outside the leader's component visits
    all blocks of its bucket and is estimated against every member of another
@@ -41,7 +42,7 @@ from .common import LOWER, SPACE_WORDS, mix64, ragged, raw_bytes, saved, shingle
 
 BANDS, ROWS, MANTISSA = 24, 4, 10
 REGISTERS = BANDS * ROWS
-THRESHOLD, MARGIN = 80, 0.17
+THRESHOLD, MARGIN = 80, 0.25
 BLOCK = 1024
 #: Bits of the bitmap that goes to the workers (8 MiB).
 BITS = 1 << 26
