@@ -1,5 +1,6 @@
 """The FM-index and the decontamination operator against brute force."""
 
+import hashlib
 import random
 import re
 
@@ -68,3 +69,15 @@ def test_operator_on_odd_rows(spark):
     assert d.find(docs.limit(0), bench).collect() == []
     kept = d.find(docs.withColumnRenamed("items", "source"), bench, keep=("doc_id", "text", "source"))
     assert {r.text for r in kept.collect()} == {r[1] for r in rows}
+
+
+def test_items_with_null_ids_are_searched(spark):
+    passage, other = (" ".join(f"{c}{i}" for i in range(14)) for c in "wv")
+    docs = spark.createDataFrame([(1, passage), (2, passage + " " + other), (3, "clean words")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, passage), (7, other), (None, passage)], "item_id bigint, text string")
+    found = d.find(docs, bench)
+    got = sorted((r.doc_id, r.n_hit, r.items, r.contaminated) for r in found.collect())
+    assert got[0] == (1, 14, [None], True) and got[2] == (3, 0, [], False)
+    assert got[1][:2] == (2, 28) and set(got[1][2]) == {None, 7} and got[1][3]
+    digests = {r.doc_id: (r.n_items, r.items_sha256) for r in d.digest(found).collect()}
+    assert digests == {i: (n, hashlib.sha256(t).hexdigest()) for i, n, t in ((1, 1, b""), (2, 2, b"7"), (3, 0, b""))}

@@ -18,8 +18,10 @@ of words in runs are compared with the benchmark word besides.
 The benchmark is the stated query set and is held whole on every worker; it is
 read by the driver and must fit there (``MAX_ITEMS_BYTES`` is checked).  Null or
 empty texts have no words and are clean; repeated rows and items are judged like
-any others (an item that repeats another occurs wherever that occurs); an empty
-benchmark leaves all clean; extra columns are ignored.
+any others (an item that repeats another occurs wherever that occurs); items with
+a null id are searched like others and together listed as one null, which counts as an
+item and is no part of the digest, as in the SQL; an empty benchmark leaves all clean;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -332,7 +334,7 @@ def read_benchmark(items: DataFrame) -> list[tuple[int, str | None]]:
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > MAX_ITEMS_BYTES:
         raise ValueError(f"the benchmark has {size} bytes; run it in parts of at most {MAX_ITEMS_BYTES}")
-    return [(r[0], r[1]) for r in items.filter("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).collect()]
+    return [(r[0], r[1]) for r in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).collect()]
 
 
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
