@@ -18,6 +18,25 @@ def test_statements_and_expressions():
     assert text("{{ 'a' in 'cat' or nothing }}|{{ none }}") == "True|"
 
 
+@pytest.mark.parametrize("source,shown", [("{{ m.name + 'x' }}", "x"), ("{{ 'a' in m.z }}", "False"), ("{{ 1 + 2 }}", "3"), ("{% for i in m.gone %}a{% endfor %}", ""), ("{{ m[m] }}{{ none in 'a' }}", "False"), ("{{ 2 in l }}{{ 'k' in m }}", "TrueTrue")])
+def test_missing_values_have_a_meaning(source, shown):
+    assert text(source, m={"k": 1}, l=[1, 2]) == shown
+
+
+@pytest.mark.parametrize("source", ["{{ 'a' + 1 }}", "{{ 1 in 2 }}", "{% for i in 5 %}a{% endfor %}", "{{ m + 'a' }}", "{{ 1 in 'a' }}", "{{ true + 1 }}"])
+def test_bad_operands_are_template_errors(source):
+    with pytest.raises(chat.TemplateError):
+        text(source, m={})
+
+
+def test_long_turns_and_clashing_columns(spark):
+    long = "<|im_end|> é\n" * 400_000
+    rows = [(1, 0, "user", long, "x", 1), (1, 1, "assistant", long, None, 2)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, n_turns string, loss_chars int")
+    r = chat.format_conversations(df).first()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(long), hashlib.sha256(long.encode()).hexdigest())
+
+
 def test_generation_marks():
     spans = chat.compile_template("a{% generation %}b{{ x }}{% endgeneration %}c")(x="y")
     assert spans == [("a", False), ("b", True), ("y", True), ("c", False)]

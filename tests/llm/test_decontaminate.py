@@ -67,8 +67,10 @@ def test_operator_on_odd_rows(spark):
     assert got == sorted([(1, 14, 14, 2, True), (1, 14, 14, 2, True), (2, 0, 0, 0, False), (3, 0, 0, 0, False), (4, 3, 0, 0, False), (None, 614, 14, 2, False)], key=repr)
     assert not any(r.contaminated for r in d.find(docs, bench.limit(0)).collect())
     assert d.find(docs.limit(0), bench).collect() == []
-    kept = d.find(docs.withColumnRenamed("items", "source"), bench, keep=("doc_id", "text", "source"))
-    assert {r.text for r in kept.collect()} == {r[1] for r in rows}
+    kept = d.find(docs, bench, carry=True).select("row.*")
+    assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0 and kept.count() == len(rows)
+    again = d.find(docs, bench, part_bytes=1)
+    assert again.exceptAll(d.find(docs, bench)).count() == 0 and again.columns == d.find(docs, bench).columns
 
 
 def test_items_with_null_ids_are_searched(spark):

@@ -6,16 +6,21 @@ A small template language - text, ``{{ expression }}``, ``{% for x in y %}``,
 constants are folded, and the tree is turned into nested Python closures.
 Nothing of a template is evaluated as Python: expressions know literals, names,
 item access by ``.name`` or ``[...]``, ``+ == != in and or not`` and the filters
-in :data:`FILTERS`.
+in :data:`FILTERS`.  A missing name or item is none.  None is empty text to ``+``, has
+nothing ``in`` it and is looped over no times; two numbers add up; what else an
+operation cannot take raises :class:`TemplateError`, when compiling if its operands
+are constant.
 
 Rendering yields spans ``(text, inside generation)``.  ``escape`` doubles a marker
 character after each control string's opening so that texts can never form a
 control string; ``unescape`` undoes it.
 
-Turns are rendered one by one in parallel; each template run sees one turn as
-``message`` and only text.  A conversation's turns are then read in order from
-sorted partitions and only running digests are held, so one conversation may be
-of any length.  Null texts and roles are empty; equal turn numbers are ordered by
+Turns are rendered one by one in parallel: each template run sees one turn as
+``message`` and only text, since a conversation may be too long for one task to hold.
+A template over whole conversations can be rendered with
+``compile_template(source)(messages=[...])``.  A conversation's turns are then read in
+order from sorted partitions and only running digests are held, so one conversation
+may be of any length; a turn is held whole.  Null texts and roles are empty; equal turn numbers are ordered by
 role and text; repeated rows are kept; extra columns are ignored; an empty table
 gives no rows.
 """
@@ -30,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 CHATML = (
     "{# one turn #}{{ '<|im_start|>' }}{{ message.role | one_line | escape }}{{ '\\n' }}"
     "{% if message.role == 'assistant' %}{% generation %}{{ message.text | escape }}{% endgeneration %}"
@@ -243,7 +250,42 @@ def _block(pieces, i, stops):
 
 
 # -- constant folding -----------------------------------------------------------------
-_BINARY = {"+": lambda a, b: a + b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "in": lambda a, b: a in b, "and": lambda a, b: a and b, "or": lambda a, b: a or b}
+def _add(a, b):
+    if _is_number(a) and _is_number(b):
+        return a + b
+    if all(x is None or isinstance(x, str) for x in (a, b)):
+        return _text(a) + _text(b)
+    raise TemplateError(f"cannot add {_sort(a)} and {_sort(b)}")
+
+
+def _within(a, b) -> bool:
+    if b is None:
+        return False
+    if isinstance(b, str):
+        if a is None or isinstance(a, str):
+            return a is not None and a in b
+    elif isinstance(b, (list, tuple, dict)):
+        return any(a == x for x in b)
+    raise TemplateError(f"cannot look for {_sort(a)} in {_sort(b)}")
+
+
+def _is_number(x) -> bool:
+    return isinstance(x, (int, float)) and not isinstance(x, bool)
+
+
+def _sort(x) -> str:
+    return "none" if x is None else "text" if isinstance(x, str) else "a number" if _is_number(x) else f"a {type(x).__name__}"
+
+
+def _each(x):
+    if x is None:
+        return ()
+    if isinstance(x, (str, list, tuple, dict)):
+        return x
+    raise TemplateError(f"cannot loop over {_sort(x)}")
+
+
+_BINARY = {"+": _add, "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "in": _within, "and": lambda a, b: a and b, "or": lambda a, b: a or b}
 
 
 def fold_expr(e: tuple) -> tuple:
@@ -313,8 +355,8 @@ def _compile_expr(e: tuple) -> Callable[[dict], object]:
         def item(env):
             box, key = a(env), b(env)
             if isinstance(box, dict):
-                return box.get(key)
-            return box[key] if isinstance(box, (list, tuple, str)) and isinstance(key, int) and -len(box) <= key < len(box) else None
+                return box.get(key) if key is None or isinstance(key, (str, int, float)) else None
+            return box[key] if isinstance(box, (list, tuple, str)) and isinstance(key, int) and not isinstance(key, bool) and -len(box) <= key < len(box) else None
 
         return item
     if op == "filter":
@@ -348,7 +390,7 @@ def _compile(node: tuple) -> Callable[[dict, list, bool], None]:
 
         def loop(env, out, gen):
             inner = dict(env)
-            for inner[name] in over(env) or ():
+            for inner[name] in _each(over(env)):
                 body(inner, out, gen)
 
         return loop
@@ -388,6 +430,9 @@ def render_turns(turns: DataFrame, template: str = CHATML) -> DataFrame:
     """conv_id, turn and the turn's spans (text, generation), rendered where the row lies."""
     spans = "array<struct<text:string,generation:boolean>>"
 
+    compile_template(template)  # a bad template fails here
+    small_batches(turns.sparkSession)
+
     def run(batches):
         render = compile_template(template)
         for b in batches:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows an Arrow batch may hold when it goes to Python; texts may be long.
-BATCH_ROWS = 2000
+#: Rows and bytes an Arrow batch may hold when it goes to Python; texts may be long.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: The struct column that carries a document's own columns beside an operator's.
+ROW = "row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,16 +25,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep an Arrow batch of long texts far below a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Keep an Arrow batch of long texts far below a worker's memory.
+
+    The limits are session settings, which Spark reads when the query runs; they are only ever lowered.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(name).rstrip("b") or 0)
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share.
+
+    Where ``spark.checkpoint.dir`` is unset, a local session gets one of its own; a cluster has no folder to fall back to.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "/tmp/tidemill-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = os.path.join(tempfile.gettempdir(), "tidemill-checkpoints")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -37,7 +54,20 @@ def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete saved tables that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "scratch_path", None)
+        if path:
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            df.scratch_path = None
 
 
 def fold(mod: int, id_col: str = "doc_id") -> Column:
@@ -54,8 +84,9 @@ def crc_fold(doc_id: int, mod: int) -> int:
 
 
 def text_array(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
-    """The text column as a large_string array with nulls made empty."""
-    col = batch.column(batch.schema.get_field_index(name))
+    """The text column, or that of the carried row, as a large_string array with nulls made empty."""
+    at = batch.schema.get_field_index(name)
+    col = batch.column(at) if at >= 0 else batch.column(ROW).field(name)
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     col = pc.fill_null(col.cast(pa.large_string()), "")
@@ -193,35 +224,32 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total)
 
 
-def bounded_sample(labelled: DataFrame, klass: str, per_class: int, classes: list) -> DataFrame:
-    """At most ``per_class`` rows of each class, those with the smallest hash of doc_id.
+def bounded_sample(labelled: DataFrame, klass: str, per_class: int, most_classes: int = 64) -> tuple[DataFrame | None, dict]:
+    """(doc_id and class of at most ``per_class`` documents of each class, rows of each class).
 
-    Only ids are sorted; ``per_class`` bounds what later reaches the driver.
+    The documents with the smallest hash of doc_id are taken, of the ``most_classes`` most
+    frequent classes.  Counts give each class a hash threshold that about twice as many rows
+    as needed pass, so one scan filters and only these few rows are ordered.  A document counts
+    once for a class, however often it is labelled; with several labels it is in several classes.
     """
-    ids = None
-    for value in classes:
-        part = (
-            labelled.filter(F.col(klass) == F.lit(value))
-            .select("doc_id", F.xxhash64("doc_id").alias("_h"))
-            .orderBy("_h", "doc_id")
-            .limit(per_class)
-            .select("doc_id")
-        )
-        ids = part if ids is None else ids.unionByName(part)
-    return ids
-
-
-def beside(kept: list[str]) -> list[str]:
-    """The kept columns but the text, which is sent to Python anyhow as column 1."""
-    return [c for c in kept if c != "text"]
-
-
-def passed(batch: pa.RecordBatch, kept: list[str], first: int) -> list[pa.Array]:
-    """The kept columns of a batch whose columns from ``first`` on are ``beside(kept)``."""
-    others = iter(batch.columns[first:])
-    return [batch.column(1) if c == "text" else next(others) for c in kept]
-
-
-def schema_of(docs: DataFrame, kept: list[str]) -> str:
-    """The kept columns for a DDL schema, each after a comma."""
-    return "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
+    spark = labelled.sparkSession
+    top = labelled.groupBy(klass).agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("n"), klass).limit(most_classes).collect()
+    counts = {r[0]: r[1] for r in top}
+    if not counts:
+        return None, {}
+    limits = spark.createDataFrame([(r[0], int(min(1.0, (2 * per_class + 50) / max(1, r[2])) * (1 << 62))) for r in top], T.StructType([T.StructField(klass, labelled.schema[klass].dataType), T.StructField("_most", T.LongType())]))
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 2)  # 0 .. 2^62
+    few = labelled.select("doc_id", klass, h.alias("_h")).join(F.broadcast(limits), klass).filter("_h <= _most").select("doc_id", klass, "_h").distinct()
+    ranked = few.withColumn("_k", F.row_number().over(Window.partitionBy(klass).orderBy("_h", "doc_id")))
+    return ranked.filter(F.col("_k") <= per_class).select("doc_id", klass), counts
+
+
+def with_row(docs: DataFrame, ddl: str, carry: bool) -> T.StructType:
+    """The schema of ``ddl``, and the carried row if there is one."""
+    out = T.StructType.fromDDL(ddl)
+    return out.add(ROW, docs.schema, False) if carry else out
+
+
+def text_or_row(docs: DataFrame, carry: bool) -> Column:
+    """What is sent to Python: the text alone, or the whole row, in one column whose name cannot clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW) if carry else F.col("text")

@@ -15,28 +15,37 @@ non-empty ranges walk by last-to-first steps to a sampled position.  The hits of
 document are merged into spans.  Words are compared by 64-bit hashes, and the bytes
 of words in runs are compared with the benchmark word besides.
 
-The benchmark is the stated query set and is held whole on every worker; it is
-read by the driver and must fit there (``MAX_ITEMS_BYTES`` is checked).  Null or
-empty texts have no words and are clean; repeated rows and items are judged like
+The benchmark is the stated query set.  Workers hold it as arrays, built once in each
+and kept for its further tasks.  A benchmark above ``PART_BYTES`` is searched in
+parts, dealt by hash of the item: each part is one pass over the documents that
+adds its spans and items to theirs, and only one part at a time is on the driver or
+a worker (an item is not split, so the longest one must fit).
+
+Null or
+empty texts have no words and are clean; long texts are a shard of their own and
+searched whole; repeated rows and items are judged like
 any others (an item that repeats another occurs wherever that occurs); items with
 a null id are searched like others and together listed as one null, which counts as an
 item and is no part of the digest, as in the SQL; an empty benchmark leaves all clean;
-extra columns are ignored.
+extra columns, whatever their names, are ignored or carried in ``row``.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, LOWER, beside, hash_words, passed, ragged, raw_bytes, schema_of, small_batches, text_array, word_hashes, word_spans
+from .common import ALNUM_WORDS, LOWER, ROW, forget, hash_words, ragged, raw_bytes, saved, small_batches, text_array, text_or_row, with_row, word_hashes, word_spans
 
 WINDOW, SEGMENT, STEP = 13, 4096, 8
 #: A word-share of 1 / RATIO that is hit makes a document contaminated.
 RATIO = 20
-MAX_ITEMS_BYTES = 256 << 20
+#: Benchmark text that is searched in one pass.
+PART_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20
 
 
@@ -106,7 +115,7 @@ class FmIndex:
             live = live[(lengths[live] > back) & (lo[live] < hi[live])]
             if not len(live):
                 break
-            c = patterns[live, width - 1 - back]
+            c = patterns[live, width - 1 - back].astype(np.int64)
             base = self.first[c]
             lo[live], hi[live] = base + self.rank(c, lo[live]), base + self.rank(c, hi[live])
         return lo, hi
@@ -184,20 +193,32 @@ class Benchmark:
         self.lengths = np.array([0] + [len(w) for w in vocabulary], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
         self.bytes = np.frombuffer(b"".join(vocabulary), np.uint8)
-        found: dict[tuple[int, ...], set[int]] = {}
-        at = 0
-        for (item, _), n in zip(items, per.tolist()):
-            c = tuple(code[w] for w in words[at : at + n])
-            at += n
-            for k in range(max(1, n - window + 1) if n else 0):
-                found.setdefault(c[k : k + window], set()).add(item)
-        self.windows = sorted(found)
-        self.items = [sorted(found[w], key=str) for w in self.windows]
-        self.sizes = np.array([len(w) for w in self.windows], np.int64)
-        self.patterns = np.zeros((len(self.windows), window), np.int64)
-        for i, w in enumerate(self.windows):
-            self.patterns[i, window - len(w) :] = w
-        self.shortest = int(self.sizes.min()) if len(self.windows) else 0
+        coded = np.fromiter((code[w] for w in words), np.int32, len(words))
+        # all windows as right-aligned rows of one matrix; items with none have no row
+        n_win = np.where(per > 0, np.maximum(1, per - window + 1), 0)
+        item = np.repeat(np.arange(len(items)), n_win)
+        size = np.minimum(per, window)[item]
+        first = (np.cumsum(per) - per)[item] + np.arange(len(item)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
+        rows = np.zeros((len(item), window), np.int32)
+        at = np.arange(window) - (window - size)[:, None]
+        inside = at >= 0
+        rows[inside] = coded[(first[:, None] + at)[inside]]
+        if len(rows):
+            order = np.lexsort(rows.T[::-1])
+            rows = rows[order]
+            new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])
+            self.patterns, self.sizes = rows[new], size[order][new].astype(np.int64)
+            pair = np.unique((np.cumsum(new) - 1) * len(items) + item[order])
+            self.item_of = pair % len(items)
+            self.item_first = np.searchsorted(pair // len(items), np.arange(len(self.patterns) + 1))
+        else:
+            self.patterns, self.sizes, self.item_of, self.item_first = rows, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.names = [i for i, _ in items]
+        self.shortest = int(self.sizes.min()) if len(self.sizes) else 0
+
+    def items(self, window: int) -> set[int | None]:
+        """Ids of the items that have a window."""
+        return {self.names[i] for i in self.item_of[self.item_first[window] : self.item_first[window + 1]].tolist()}
 
     def encode(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The code of each word; 0 for words that are not in the vocabulary."""
@@ -226,7 +247,7 @@ def search_shard(texts: pa.Array, bench: Benchmark, segment: int = SEGMENT) -> t
     n_docs = len(per)
     spans: list[list[tuple[int, int]]] = [[] for _ in range(n_docs)]
     items: list[set[int]] = [set() for _ in range(n_docs)]
-    if not bench.windows or not len(starts):
+    if not len(bench.sizes) or not len(starts):
         return per, spans, items
     codes = bench.encode(flat, starts, ends)
     doc_first = np.concatenate([[0], np.cumsum(per)])
@@ -291,9 +312,9 @@ def _indexed(codes, a, b, per, doc_first, bench, segment, spans, items):
         pattern = np.repeat(part, count)
         doc = np.searchsorted(doc_first, at, side="right") - 1
         _merge(at - doc_first[doc], doc, bench.sizes[pattern], spans)
-        seen = np.unique(doc * len(bench.windows) + pattern)
-        for d, p in zip((seen // len(bench.windows)).tolist(), (seen % len(bench.windows)).tolist()):
-            items[d].update(bench.items[p])
+        seen = np.unique(doc * len(bench.sizes) + pattern)
+        for d, p in zip((seen // len(bench.sizes)).tolist(), (seen % len(bench.sizes)).tolist()):
+            items[d].update(bench.items(p))
     return per, spans, items
 
 
@@ -320,7 +341,7 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def shards(batches, limit: int = SHARD_BYTES):
     """Slices of record batches with at most ``limit`` text bytes (or one row)."""
     for b in batches:
-        texts = text_array(b, "_text")
+        texts = text_array(b)
         _, off = raw_bytes(texts)
         lo = 0
         while lo < b.num_rows:
@@ -329,38 +350,62 @@ def shards(batches, limit: int = SHARD_BYTES):
             lo = hi
 
 
-def read_benchmark(items: DataFrame) -> list[tuple[int, str | None]]:
-    """The query set on the driver; its size is checked first."""
+_BUILT: dict[str, Benchmark] = {}
+
+
+def _built(name: str, query_set: list, window: int) -> Benchmark:
+    """The worker's arrays of a part; only the last one is kept."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Benchmark(query_set, window)
+    return _BUILT[name]
+
+
+def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, carry: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, spans of hit words, items, contaminated; a narrow map without a shuffle.
+
+    With ``carry`` also the document's own columns in the struct ``row``.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_ITEMS_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; run it in parts of at most {MAX_ITEMS_BYTES}")
-    return [(r[0], r[1]) for r in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).collect()]
-
-
-def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_hit, spans of hit words, items, contaminated; a narrow map without a shuffle."""
-    small_batches(docs.sparkSession)
-    query_set = read_benchmark(items)
-    kept = [c for c in keep if c != "doc_id"]
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), *beside(kept))
-    cast = schema_of(docs, kept)
-    span = pa.struct([("first", pa.int64()), ("past", pa.int64())])
-    handle = docs.sparkSession.sparkContext.broadcast(query_set)
-
-    def run(batches):
-        bench = Benchmark(handle.value, window)
-        for b, texts in shards(batches):
-            per, spans, found = search_shard(texts, bench)
-            n_hit = [sum(y - x for x, y in s) for s in spans]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0), pa.array(per), pa.array(n_hit, pa.int64()), pa.array([[{"first": x, "past": y} for x, y in s] for s in spans], pa.list_(span)),
-                    pa.array([sorted(f, key=str) for f in found], pa.list_(pa.int64())), pa.array([h > 0 and RATIO * h >= n for h, n in zip(n_hit, per.tolist())], pa.bool_()), *passed(b, kept, 2),
-                ],
-                names=["doc_id", "n_words", "n_hit", "spans", "items", "contaminated", *kept],
-            )
-
-    return base.mapInArrow(run, f"doc_id long, n_words long, n_hit long, spans array<struct<first:long,past:long>>, items array<long>, contaminated boolean{cast}")
+    parts = max(1, -(-size // part_bytes))
+    names = ["doc_id", "n_words", "n_hit", "spans", "items", "contaminated"]
+    schema = "doc_id long, n_words long, n_hit long, spans array<struct<first:long,past:long>>, items array<long>, contaminated boolean"
+    span = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
+
+    def pass_over(rows: DataFrame, part: int, last: bool) -> DataFrame:
+        """Search one part; rows of a later pass have the spans and items so far."""
+        mine = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        query_set = [(r[0], r[1]) for r in mine.collect()]
+        handle, name, kept = spark.sparkContext.broadcast(query_set), uuid.uuid4().hex, carry or not last
+
+        def run(batches):
+            bench = _built(name, handle.value, window)
+            for b, texts in shards(batches):
+                per, spans, found = search_shard(texts, bench)
+                if part:
+                    spans = [union(s + [(x["first"], x["past"]) for x in old]) for s, old in zip(spans, b.column(2).to_pylist())]
+                    found = [f | set(old) for f, old in zip(found, b.column(3).to_pylist())]
+                n_hit = [sum(y - x for x, y in s) for s in spans]
+                columns = [
+                    b.column(0), pa.array(per), pa.array(n_hit, pa.int64()), pa.array([[{"first": x, "past": y} for x, y in s] for s in spans], span),
+                    pa.array([sorted(f, key=str) for f in found], pa.list_(pa.int64())), pa.array([h > 0 and RATIO * h >= n for h, n in zip(n_hit, per.tolist())], pa.bool_()),
+                ]
+                yield pa.RecordBatch.from_arrays([*columns, b.column(1)] if kept else columns, names=[*names, ROW] if kept else names)
+
+        return rows.mapInArrow(run, with_row(docs, schema, kept))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_row(docs, carry or parts > 1))
+    done = None
+    for part in range(parts):
+        before, done = done, pass_over(rows, part, part == parts - 1)
+        if part < parts - 1:
+            done = saved(done)
+            rows = done.select("doc_id", ROW, "spans", "items")
+        forget(before if part < parts - 1 else None)
+    return done
 
 
 def digest(found: DataFrame) -> DataFrame:

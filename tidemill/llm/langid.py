@@ -6,11 +6,16 @@ families, vote for the family; within it, one for each pair of languages votes f
 the language.  A family is a fixed value of :data:`FAMILIES`; a code that it does
 not know is a family of its own.
 
-Learning reads a bounded sample (``per_language`` rows of each language, smallest
-hash of doc_id first) of rows that have a text and a language and are not held
-out.  Texts without a letter, and nulls, are ``und`` with score 1; if no language
-could be learned, every row is ``und`` with score 0.  Extra columns are ignored;
-repeated rows are scored like any others; an empty table gives no rows.
+Learning reads a bounded sample of documents that have a language and are not held
+out: of the ``LANGUAGES`` most frequent languages, ``per_language`` documents each,
+smallest hash of doc_id first, and ``SAMPLE`` together at most.  One scan of the ids
+counts the languages, one picks the sample and one reads its texts, however many
+languages there are; null texts in the sample are left out.  Texts without a letter,
+and nulls, are ``und`` with score 1; if no language could be learned, every row is
+``und`` with score 0.  Texts of any length are read whole in linear time.  Ties of
+votes go to the larger margins, then to the first name.  Extra columns, whatever their
+names, are ignored or carried in ``row``; repeated rows are scored like any others; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,10 +25,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, beside, bounded_sample, fold, held_out, passed, raw_bytes, schema_of, small_batches, text_array
+from .common import LOWER, ROW, bounded_sample, fold, held_out, raw_bytes, small_batches, text_array, text_or_row, with_row
 
 #: Language codes by family.
 FAMILIES = {
@@ -36,7 +41,7 @@ FAMILIES = {
     "semitic": "am ar he mt",
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-DIM, PER_LANGUAGE = 2048, 1000
+DIM, PER_LANGUAGE, LANGUAGES, SAMPLE = 2048, 1000, 64, 16_000
 
 
 def features(texts: pa.Array, dim: int = DIM) -> np.ndarray:
@@ -124,44 +129,49 @@ class LanguageModel:
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, mod: int = 4) -> LanguageModel | None:
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(mod) != 2))
-    langs = [r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()]
-    if not langs:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(mod) != 2))
+    # the ids are picked without reading a text
+    ids, counts = bounded_sample(rows.select("doc_id", "lang"), "lang", per_language, LANGUAGES)
+    if not counts:
         return None
-    ids = bounded_sample(rows.select("doc_id", "lang"), "lang", per_language, langs)
+    ids = ids.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("_k") <= max(1, SAMPLE // len(counts))).select("doc_id", "lang")
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 s = b.slice(lo, 256)
                 x = features(text_array(s)).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
 
-    got = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text").mapInArrow(run, "lang string, x binary").toArrow()
+    sampled = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").filter("text is not null").select("doc_id", "lang", "text")
+    # one row for each sampled id and language, whatever repeats it, in an order of its own
+    got = sampled.mapInArrow(run, "doc_id long, lang string, x binary").groupBy("doc_id", "lang").agg(F.min("x").alias("x")).toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+    if not got.num_rows:
+        return None
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, DIM).astype(np.float32)
     return LanguageModel.fit(x, got["lang"].to_pylist())
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, mod: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score (and the columns of ``keep`` besides)."""
+def predict(docs: DataFrame, model: LanguageModel | None, mod: int = 4, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score; with ``carry`` also the document's own columns in the struct ``row``."""
     small_batches(docs.sparkSession)
-    kept = [c for c in keep if c != "doc_id"]
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), held_out(mod).alias("held_out"), *beside(kept))
-    cast = schema_of(docs, kept)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_row(docs, carry), held_out(mod).alias("held_out"))
+    names = ["doc_id", "held_out", "lang_pred", "score", *([ROW] if carry else [])]
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 s = b.slice(lo, 256)
-                texts = text_array(s, "_text")
+                texts = text_array(s)
                 letter = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
                 lang, score = np.full(len(texts), "und", object), np.where(letter, 0.0, 1.0)
                 if model is not None and letter.any():
                     a, p = model.predict(features(texts.filter(pa.array(letter))))
                     lang[letter], score[letter] = a, p
-                yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), pa.array(lang, pa.string()), pa.array(score), *passed(s, kept, 3)], names=["doc_id", "held_out", "lang_pred", "score", *kept])
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), pa.array(lang, pa.string()), pa.array(score), *([s.column(1)] if carry else [])], names=names)
 
-    return base.mapInArrow(run, f"doc_id long, held_out boolean, lang_pred string, score double{cast}")
+    return base.mapInArrow(run, with_row(docs, "doc_id long, held_out boolean, lang_pred string, score double", carry))
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -26,9 +26,15 @@ Components come from alternating large-star and small-star steps over links, wit
 each step written to the shared folder.  Nothing is collected to the driver but
 counts.
 
+Buckets, links and components are joined by tables that are written first, so that both
+sides of such a join are plain shuffles and adaptive execution can split a hot key.
+Scratch tables are deleted as soon as nothing reads them again.
+
 Null doc_ids cannot be named: such rows have a null component and are kept.  Rows
-that repeat a doc_id are separate texts with the same name.  An empty table gives no
-rows; extra columns are ignored.
+that repeat a doc_id are separate texts with the same name.  Null and empty texts have
+an empty set; texts of any length give whole sets, and sets are compared in batches
+bounded by bytes; ties need no rule, as the smallest doc_id names a component.  An
+empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,14 +44,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_WORDS, mix64, ragged, raw_bytes, saved, shingle_hashes, small_batches, text_array, word_hashes, word_spans
+from .common import LOWER, SPACE_WORDS, forget, mix64, ragged, raw_bytes, saved, shingle_hashes, small_batches, text_array, word_hashes, word_spans
 
 BANDS, ROWS, MANTISSA = 24, 4, 10
 REGISTERS = BANDS * ROWS
 THRESHOLD, MARGIN = 80, 0.25
 BLOCK = 1024
-#: Bits of the bitmap that goes to the workers (8 MiB).
-BITS = 1 << 26
+#: Most bits of the bitmap that goes to the workers (32 MiB); it has 16 for each id up to that, 64 k at least.
+BITS, LEAST_BITS = 1 << 28, 1 << 16
 _SEEDS = mix64(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MUL = _SEEDS[:REGISTERS], _SEEDS[REGISTERS:] | np.uint64(1)
 
@@ -121,11 +127,17 @@ def sketch(docs: DataFrame, k: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, reg binary")
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """BITS bits, set at the hashes of the ids; its size does not depend on their number."""
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("h")
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """A power of two of bits, set at the hashes of the ids (``doc_id``).
+
+    Beyond BITS / 16 ids it lets more other ids pass, which costs shuffled rows and no results.
+    """
+    n = LEAST_BITS
+    while n < min(BITS, 16 * ids.count()):
+        n *= 2
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("h")
     words = ids.select(h).groupBy(F.expr("h div 64").cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("b")).toArrow()
-    out = np.zeros(BITS // 64, np.int64)
+    out = np.zeros(n // 64, np.int64)
     out[words["w"].to_numpy()] = words["b"].to_numpy()
     return out
 
@@ -136,7 +148,8 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     Texts are not shuffled: a bitmap of the ids, of a fixed size, drops most other
     documents where they lie, and the join drops the rest.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
+    bits = bitmap(ids)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         for b in batches:
@@ -148,7 +161,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array([sh[x:y].tobytes() for x, y in zip(off[:-1], off[1:])], pa.binary())], names=["id", "set"])
 
     every = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    near = every.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("h")).mapInArrow(run, "id long, set binary")
+    near = every.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(64 * len(bits))).alias("h")).mapInArrow(run, "id long, set binary")
     return near.join(ids.select(F.col("doc_id").alias("id")), "id", "left_semi")
 
 
@@ -189,7 +202,9 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataF
 
     first = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     second = first.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-    return second.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    out = saved(second.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct())
+    forget(sets)
+    return out
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -198,14 +213,19 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     before = None
     for _ in range(most):
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join's two sides are shuffles of their own and a hub can be split
+        low = lows = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = saved(large)
+        low = saved(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
-        edges = saved(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+        old, edges = edges, saved(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+        forget(old, low, lows, large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            out.scratch_path = edges.scratch_path
+            return out
         before = now
     raise RuntimeError("components did not settle")
 
@@ -249,11 +269,14 @@ def _open_buckets(members: DataFrame, reps: DataFrame, comps: DataFrame, block:
     """Rows of the buckets that hold several components: each member at home in one block, strays visiting all blocks."""
     named = members.join(comps, members["rep"] == comps["node"], "left").select("key", "band", "lead", "rep", F.coalesce("comp", "rep").alias("comp"))
     stats = named.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("rep") == F.col("lead"), F.col("comp"))).alias("main")).filter("lo <> hi").select("key", "m", "main")
+    stats = saved(stats)
     open_ = named.join(stats, "key").join(reps, "rep").select("key", "band", "lead", "rep", "comp", "n", "reg", (F.col("comp") != F.col("main")).alias("stray"), F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     home = open_.select("*", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("salt"), F.lit(False).alias("visits"))
     guest = open_.filter("stray").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(True).alias("visits"))
     columns = ["key", "salt", "visits", "band", "lead", "rep", "comp", "n", "reg", "stray"]
-    return home.select(*columns).union(guest.select(*columns))
+    rows = saved(home.select(*columns).union(guest.select(*columns)))
+    forget(stats)
+    return rows
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -263,8 +286,6 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 def _late_links(rows: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame | None:
     """Links between components that share a bucket: first the members that may have one, then these with their sets."""
-    rows = saved(rows)
-
     def involved(batches):
         """key, salt, visits, rep of rows with a possible link; a row once for each block."""
         def flush(found):
@@ -287,6 +308,7 @@ def _late_links(rows: DataFrame, docs: DataFrame, k: int, threshold: int) -> Dat
 
     some = saved(_grouped(rows).mapInArrow(involved, "key long, salt int, visits boolean, rep long"))
     if some.isEmpty():
+        forget(rows, some)
         return None
     sets = _sets(docs, some.select(F.col("rep").alias("doc_id")).distinct(), k)
     full = rows.join(some, ["key", "salt", "visits", "rep"]).join(sets.select(F.col("id").alias("rep"), "set"), "rep")
@@ -312,7 +334,9 @@ def _late_links(rows: DataFrame, docs: DataFrame, k: int, threshold: int) -> Dat
                     out.append((min(me["rep"], held[j]["rep"]), max(me["rep"], held[j]["rep"])))
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
 
-    return _grouped(full.select(*rows.columns, "set")).mapInArrow(confirm, "a long, b long")
+    out = saved(_grouped(full.select(*rows.columns, "set")).mapInArrow(confirm, "a long, b long"))
+    forget(rows, some)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -322,15 +346,19 @@ def near_duplicates(docs: DataFrame, k: int = 4, threshold: int = THRESHOLD, blo
     reps = saved(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("reg").alias("reg"), F.count("*").alias("copies")))
     keys = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("reg", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BANDS)])).alias("band", "key")
     bands = reps.select("rep", keys)
-    buckets = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("lead")).filter("m > 1").select("key", "lead")
+    buckets = saved(bands.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("lead")).filter("m > 1").select("key", "lead"))
     members = saved(bands.join(buckets, "key").select("key", "band", "lead", "rep"))
     look_up = reps.select("rep", "n", "reg")
     stars = members.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    links = saved(_confirm(saved(_may_link(stars, look_up, threshold)), docs, k, threshold))
+    likely_pairs = saved(_may_link(stars, look_up, threshold))
+    links = _confirm(likely_pairs, docs, k, threshold)
+    forget(buckets, likely_pairs)
     comps = components(links)
     late = _late_links(_open_buckets(members, look_up, comps, block), docs, k, threshold)
     if late is not None:
-        comps = components(links.unionByName(late))
+        before, comps = comps, components(links.unionByName(late))
+        forget(before, late)
+    forget(members, links)
     of_rep = reps.filter("copies > 1").select("f1", "f2", F.col("n").alias("_n"), "rep")
     alone = sketches.join(of_rep, (sketches["f1"] == of_rep["f1"]) & (sketches["f2"] == of_rep["f2"]) & (sketches["n"] == of_rep["_n"]), "left")
     base = alone.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("_rep"))

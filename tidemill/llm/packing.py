@@ -72,7 +72,7 @@ def best_cuts(places: np.ndarray, penalties: np.ndarray, window: int) -> list[in
     queue: deque[int] = deque([0])
     powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
     tail = total - window
-    where = {}
+    where = {0: 0}
     for j in range(1, n):
         p = pos[j]
         while pos[queue[0]] < p - window:
@@ -91,7 +91,6 @@ def best_cuts(places: np.ndarray, penalties: np.ndarray, window: int) -> list[in
         while queue and value[queue[-1]] >= v:
             queue.pop()
         queue.append(j)
-    where[0] = 0
     cuts = [n - 1]
     while cuts[-1]:
         cuts.append(back[cuts[-1]])

@@ -7,11 +7,14 @@ that feature's lookup table.  Afterwards the pairs of features whose bins still
 explain most of the gradient get two-dimensional tables of four-leaf trees.  A
 score is the sigmoid of the sum of table cells.
 
-Learning reads a bounded sample of labelled rows that are not held out
+Learning reads a bounded sample of labelled documents that are not held out
 (``per_class`` of each label; only numbers reach the driver), weighted back to
-the labels' shares.  Null and empty texts have all features 0 and are scored;
-without any label every score is 0.5.  If labels repeat a document, its rows count
-as often.  Extra columns are ignored; an empty table gives no rows.
+the labels' shares.  A document counts once for a label, however often it is
+labelled; if documents repeat an id, the row with the smallest features is learned
+from.  Null and empty texts have all features 0 and are scored; very long texts are
+measured whole, in time linear but for sorting their words; equal scores and repeated
+rows need no rule; without any label every score is 0.5.  Extra columns, whatever
+their names, are ignored or carried in ``row``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, beside, bounded_sample, fold, held_out, passed, raw_bytes, schema_of, small_batches, text_array, word_hashes, word_spans
+from .common import ROW, SPACE_WORDS, bounded_sample, fold, held_out, raw_bytes, small_batches, text_array, text_or_row, with_row, word_hashes, word_spans
 
 FEATURES = ["log_words", "word_len", "long_words", "symbols", "pipes", "upper", "digits", "punct", "bangs", "repeat_words", "top_word", "dup_line_bytes", "line_words", "short_lines", "dup_triples", "newlines"]
 PER_CLASS, THRESHOLD = 10_000, 0.7
@@ -189,21 +192,21 @@ def _quad(g: np.ndarray, h: np.ndarray, ridge: float = 2.0) -> tuple[np.ndarray,
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, mod: int = 4) -> AdditiveModel | None:
     small_batches(docs.sparkSession)
-    marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").filter(fold(mod) != 2)
-    counts = {r[0]: r[1] for r in marked.groupBy("quality").count().collect()}
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").filter(fold(mod) != 2)
+    few, counts = bounded_sample(marked, "quality", per_class)
     if len(counts) < 2:
         return None
-    ids = bounded_sample(marked, "quality", per_class, [0, 1])
-    few = F.broadcast(marked.join(ids.distinct(), "doc_id", "left_semi"))
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 s = b.slice(lo, 512)
                 x = features(text_array(s))
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["quality", "x"])
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
-    got = docs.select("doc_id", "text").join(few, "doc_id").select("quality", "text").mapInArrow(run, "quality int, x binary").toArrow()
+    sampled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").select("doc_id", "quality", "text")
+    # one row for each sampled id and label, so at most two for an id
+    got = sampled.mapInArrow(run, "doc_id long, quality int, x binary").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toArrow()
     y = np.array(got["quality"].to_pylist(), float)
     if not 0 < y.sum() < len(y):
         return None
@@ -214,21 +217,20 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, mod: i
     return AdditiveModel.fit(x, y, weight * len(y) / weight.sum())
 
 
-def score(docs: DataFrame, model: AdditiveModel | None, threshold: float = THRESHOLD, mod: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted (and the columns of ``keep`` besides)."""
+def score(docs: DataFrame, model: AdditiveModel | None, threshold: float = THRESHOLD, mod: int = 4, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted; with ``carry`` also the document's own columns in the struct ``row``."""
     small_batches(docs.sparkSession)
-    kept = [c for c in keep if c != "doc_id"]
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), held_out(mod).alias("held_out"), *beside(kept))
-    cast = schema_of(docs, kept)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_row(docs, carry), held_out(mod).alias("held_out"))
+    names = ["doc_id", "held_out", "score", "predicted", *([ROW] if carry else [])]
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 s = b.slice(lo, 512)
-                p = np.full(s.num_rows, 0.5) if model is None else model.score(features(text_array(s, "_text")))
-                yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *passed(s, kept, 3)], names=["doc_id", "held_out", "score", "predicted", *kept])
+                p = np.full(s.num_rows, 0.5) if model is None else model.score(features(text_array(s)))
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *([s.column(1)] if carry else [])], names=names)
 
-    return base.mapInArrow(run, f"doc_id long, held_out boolean, score double, predicted int{cast}")
+    return base.mapInArrow(run, with_row(docs, "doc_id long, held_out boolean, score double, predicted int", carry))
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:

@@ -13,8 +13,10 @@ loosest in a tie; a rule without a safe and useful cutoff is off in that stratum
 So, with probability 1 - DELTA, no stratum loses more than ALPHA of its good
 documents to the rules.
 
-Null texts are empty: no words, so they fail the base rule.  A null language is a
-stratum of its own.  Labels that repeat a document count as often.  Extra columns are
+Null texts are empty: no words, so they fail the base rule.  Texts of any length are
+measured whole, a text in one task.  Null and empty languages are one stratum.  Labels
+that repeat a document count as often; of cutoffs with equal gain the loosest is used;
+repeated rows are judged like any others.  Extra columns, whatever their names, are
 ignored; empty tables give no rows; without labels all rules are off.
 """
 
@@ -47,6 +49,7 @@ def _without(text: Column, chars: str) -> Column:
 
 
 def _window_hashes(words: Column) -> Column:
+    # ``words`` are hashes already, so that each word's bytes are read once
     at = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(5)])
     return F.when(F.size(words) >= 5, F.transform(F.sequence(F.lit(0), F.size(words) - 5), at)).otherwise(F.array().cast("array<bigint>"))
 
@@ -56,7 +59,8 @@ def measure(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     has_word = lambda x: x.rlike(WORD)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("t"))
-    d = d.select("doc_id", "lang", "t", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"), F.filter(F.split("t", "\n", -1), has_word).alias("l"))
+    hashed = F.transform(F.regexp_extract_all("t", F.lit(WORD), F.lit(0)), lambda x: F.xxhash64(x))
+    d = d.select("doc_id", "lang", "t", hashed.alias("w"), F.filter(F.split("t", "\n", -1), has_word).alias("l"))
     d = d.select(
         "doc_id", "lang", F.size("w").cast("long").alias("n_words"), F.size("l").cast("long").alias("n_lines"),
         F.length(_without(F.col("t"), SPACES)).cast("long").alias("word_chars"),
@@ -65,12 +69,12 @@ def measure(docs: DataFrame) -> DataFrame:
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"), _window_hashes(F.col("w")).alias("h"),
     )
     counts = ["doc_id", "lang", "n_words", "n_lines", "word_chars", "n_symbols", "n_upper", "n_dup_lines"]
-    pairs = F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    pairs = F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     none = F.array().cast("array<struct<x:bigint,i:int>>")
     d = d.select(*counts, F.when(F.size(F.array_distinct("h")) < F.size("h"), pairs).otherwise(none).alias("s"))
     s = F.col("s")
     twice = F.filter(s, lambda x, j: (x["x"] == F.get(s, j + 1)["x"]) | (x["x"] == F.get(s, j - 1)["x"]))
-    d = d.select(*counts, F.array_sort(F.transform(twice, lambda x: x["i"])).alias("p"))
+    d = d.select(*counts, F.sort_array(F.transform(twice, lambda x: x["i"])).alias("p"))
     p = F.col("p")
     covered = F.transform(p, lambda x, j: F.least(F.lit(5), F.coalesce(F.get(p, j + 1) - x, F.lit(5))))
     return d.select(*counts, F.aggregate(covered, F.lit(0), lambda a, b: a + b).cast("long").alias("n_repeat_words"))

@@ -2,12 +2,22 @@
 
 A text above ``chunk`` characters is encoded in overlapping chunks.  Token byte
 offsets are cumulative token lengths.  Two neighbouring chunks are spliced at a
-*proven stable* boundary in their overlap: a place where the pre-tokenizer
-always splits, whatever stands on either side.  For the byte-level pattern that
-is a single space with a character that is no white space on both sides, since
-only the first character of a match may be a space followed by other text.  Both
-encodings must have a token boundary there.  If the overlap has no such place it
-is doubled, at last up to the whole left chunk, which equals encoding both as one.
+*proven stable* boundary in their overlap: a place where the pre-tokenizer always
+splits, whatever stands further left or right.  By the byte-level pattern no match
+goes on
+
+* from a character that is no white space to white space;
+* from white space other than a space to anything that is no white space;
+* between a letter and a digit, from a letter or digit to another character that is
+  no white space, or from such a character to a digit;
+* from such a character, but an apostrophe, to a letter.
+
+Characters count by classes that Unicode 3.2 and today's tables agree on, and a
+place inside an added token, or so near the overlap's edge that it could be, is
+none.  Both encodings must have a token boundary at the place, too.  An overlap
+without such a place is doubled, before anything is encoded, up to the whole left
+chunk; a chunk without any grows to the right, twice as long each time.  So every
+character is looked at and encoded a bounded number of times.
 
 Nulls and empty texts have 0 tokens.  Rows are mapped one by one, so ties,
 repeated rows and empty tables need no rule; extra columns are ignored.
@@ -18,6 +28,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +41,8 @@ from .common import ragged, small_batches, text_array
 
 #: The split pattern of byte-level BPE with ``use_regex``.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-STABLE = re.compile(r"(?<=\S) (?=\S)")
+#: White space of the pattern.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK, OVERLAP = 32_768, 256
 
 
@@ -40,6 +52,29 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Kinds(dict):
+    """Classes of characters by the pattern, filled as they are met: space, white, Letter, Digit, Other, Quote, unsure."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        if c == " ":
+            kind = "s"
+        elif c in WHITE:
+            kind = "w"
+        elif c == "'":
+            kind = "Q"
+        else:
+            old, new = unicodedata.ucd_3_2_0.category(c), unicodedata.category(c)
+            kind = "u" if old[0] != new[0] or new[0] in "CZ" else {"L": "L", "N": "D"}.get(new[0], "O")
+        self[code] = kind
+        return kind
+
+
+_KINDS = _Kinds()
+#: Between two kinds, the places that are always split.
+_SPLITS = re.compile(r"(?<=[LDOQ])(?=[sw])|(?<=w)(?=[LDOQ])|(?<=L)(?=[DOQ])|(?<=D)(?=[LOQ])|(?<=O)(?=[LD])|(?<=Q)(?=D)")
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies, by character."""
     plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -72,6 +107,7 @@ class ByteBpe:
             self.lengths[i] = len(s.encode())
         self.ranks = ranks
         self.stable = not any(re.search(r"\s", s) for s in special)
+        self.longest = max(map(len, special), default=0)
         self._enc = tiktoken.Encoding("byte_bpe", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self._maybe_special = re.compile("|".join(map(re.escape, special))) if special else None
         self._reset()
@@ -173,35 +209,59 @@ class ByteBpe:
         if len(text) <= chunk or not self.stable:
             yield self.encode(text)
             return
-        begin, end = 0, chunk
-        left = self.encode(text[:end])
-        while end < len(text):
-            wide = min(overlap, end - begin)
-            stop = min(len(text), end + chunk)
-            while True:
-                start = end - wide
-                right = self.encode(text[start:stop])
-                cut = self._common(left, right, text[start:end])
-                if cut is not None or wide >= end - begin:
-                    break
-                wide = min(2 * wide, end - begin)
-            if cut is None:  # no stable place at all: both chunks become one
-                left = self.encode(text[begin:stop])
+        plan = self._plan(text, chunk, overlap)
+        at, end, places = plan[0]
+        left = self.encode(text[at:end])
+        for begin, next_end, next_places in plan[1:]:
+            right = self.encode(text[begin:next_end])
+            cut = self._common(left, right, text, begin, end, places)
+            if cut is None:  # places are proven, so this is not expected
+                left = self.encode(text[at:next_end])
             else:
                 yield left[: cut[0]]
-                left, begin = right[cut[1] :], start + cut[2]
-            end = stop
+                left, at = right[cut[1] :], cut[2]
+            end, places = next_end, next_places
         yield left
 
-    def _common(self, left: np.ndarray, right: np.ndarray, both: str) -> tuple[int, int, int] | None:
-        """(tokens of left before, tokens of right before, characters of ``both`` before) a common stable boundary."""
+    def _plan(self, text: str, chunk: int, overlap: int) -> list[tuple[int, int, list[int]]]:
+        """(begin, end, proven places in the overlap with the next chunk) of each chunk."""
+        out, begin, fresh = [], 0, 0
+        while True:
+            size = chunk
+            while True:
+                end = min(len(text), fresh + size)
+                if end == len(text):
+                    return [*out, (begin, end, [])]
+                wide, places = min(overlap, end - fresh), []
+                while not (places := self._places(text, end - wide, end)) and wide < end - fresh:
+                    wide = min(2 * wide, end - fresh)
+                if places:
+                    break
+                size *= 2
+            out.append((begin, end, places))
+            begin, fresh = end - wide, end
+
+    def _places(self, text: str, start: int, end: int, most: int = 8) -> list[int]:
+        """The first proven places of an overlap, far enough inside it that all added tokens around them are seen."""
+        margin = max(1, self.longest)
+        inside = [m.span() for m in self._maybe_special.finditer(text, start, end)] if self._maybe_special else []
+        out = []
+        for m in _SPLITS.finditer(text[start:end].translate(_KINDS), margin, max(margin, end - start - margin + 1)):
+            p = start + m.start()
+            if p <= end - margin and not any(a < p < b for a, b in inside):
+                out.append(p)
+                if len(out) == most:
+                    break
+        return out
+
+    def _common(self, left: np.ndarray, right: np.ndarray, text: str, begin: int, end: int, places: list[int]) -> tuple[int, int, int] | None:
+        """(tokens of left before, tokens of right before, place) at the first of the places where both have a token boundary."""
         l_end, r_end = np.cumsum(self.lengths[left]), np.cumsum(self.lengths[right])
-        l_base = int(l_end[-1]) - len(both.encode()) if len(left) else 0
-        for m in STABLE.finditer(both):
-            at = len(both[: m.start()].encode())
-            i, j = int(np.searchsorted(l_end, l_base + at)), int(np.searchsorted(r_end, at))
-            if i < len(l_end) and j < len(r_end) and l_end[i] == l_base + at and r_end[j] == at:
-                return i + 1, j + 1, m.start()
+        for p in places:
+            x, y = int(l_end[-1]) - len(text[p:end].encode()), len(text[begin:p].encode())
+            i, j = int(np.searchsorted(l_end, x)), int(np.searchsorted(r_end, y))
+            if i < len(l_end) and j < len(r_end) and l_end[i] == x and r_end[j] == y:
+                return i + 1, j + 1, p
         return None
 
 
