@@ -61,7 +61,7 @@ def test_attention_does_not_look_ahead_and_sums_to_one():
     x = np.random.default_rng(2).integers(0, c, (1, attention.LENGTH))
     later = x.copy()
     later[0, 20:] = 5
-    h, h2 = (attention._hidden(p, v)[-1] for v in (x, later))
+    h, h2 = (attention._hidden(p, attention.projected(p), v)[-1] for v in (x, later))
     assert np.allclose(h[:20], h2[:20], atol=1e-5)
     mask = np.zeros(x.shape, bool)
     mask[0, 7] = True

@@ -46,27 +46,34 @@ def initial(seed: int = 7) -> np.ndarray:
     return flat
 
 
-def _hidden(p: dict, x: np.ndarray, normal: bool = False):
+def projected(p: dict) -> tuple[np.ndarray, ...]:
+    """Per class: queries, keys and values of each head (a one after each value), and the distance weights.
+
+    Inputs are classes only, so projections are table rows: they are made once for a set of weights.
+    """
+    dh = WIDTH // HEADS
+    q, k, v = (np.ascontiguousarray((p["e"] @ p[name]).reshape(CLASSES, HEADS, dh).transpose(1, 0, 2)) for name in ("q", "k", "v"))
+    q *= np.float32(dh**-0.5)
+    return q, k, np.concatenate([v, np.ones((HEADS, CLASSES, 1), np.float32)], 2), np.exp(p["r"])[:, None, _DISTANCE] * _CAUSAL
+
+
+def _hidden(p: dict, tables: tuple[np.ndarray, ...], x: np.ndarray, normal: bool = False):
     """Activations of windows; ``normal`` also divides the attention weights, which only gradients need."""
     n, length = x.shape
     flat = p["e"].take(x.ravel(), 0)
-    dh = WIDTH // HEADS
-    one = np.zeros((WIDTH, HEADS * (3 * dh + 1)), np.float32)
-    wide = one.reshape(WIDTH, HEADS, 3 * dh + 1)
-    for j, (name, scale) in enumerate((("q", dh**-0.5), ("k", 1.0), ("v", 1.0))):
-        wide[:, :, j * dh : (j + 1) * dh] = p[name].reshape(WIDTH, HEADS, dh) * np.float32(scale)
-    qkv = (flat @ one).reshape(n, length, HEADS, 3 * dh + 1)
-    qkv[..., -1] = 1
-    qkv = qkv.transpose(0, 2, 1, 3)
-    q, k, v = qkv[..., :dh], qkv[..., dh : 2 * dh], qkv[..., 2 * dh :]
+    q, k, v = (t.take(x, 1) for t in tables[:3])
     a = np.matmul(q, k.transpose(0, 1, 3, 2))
     np.exp(a, out=a)
-    a *= np.exp(p["r"])[:, _DISTANCE[:length, :length]] * _CAUSAL[:length, :length]
+    a *= tables[3][:, :, :length, :length]
     mixed = np.matmul(a, v)  # the last column is the sum of the weights
     if normal:
         a /= mixed[..., -1:]
-    mixed = (mixed[..., :-1] / mixed[..., -1:]).transpose(0, 2, 1, 3).reshape(n * length, WIDTH)
-    u = flat + mixed @ p["o"]
+    joined = np.empty((n, length, HEADS, WIDTH // HEADS), np.float32)
+    for j in range(HEADS):
+        np.divide(mixed[j, ..., :-1], mixed[j, ..., -1:], out=joined[:, :, j])
+    mixed = joined.reshape(n * length, WIDTH)
+    u = mixed @ p["o"]
+    u += flat
     z = u @ p["w1"]
     z += p["b1"]
     np.maximum(z, 0, out=z)
@@ -75,23 +82,15 @@ def _hidden(p: dict, x: np.ndarray, normal: bool = False):
     return flat, q, k, v[..., :-1], a, mixed, u, z, h
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(-1, keepdims=True)
+def _exp_rows(logits: np.ndarray) -> np.ndarray:
+    """exp in place; logits are log probabilities plus small residuals, so none is large.  Returns the sums of the rows."""
+    np.minimum(logits, np.float32(60), out=logits)
     np.exp(logits, out=logits)
-    logits /= logits.sum(-1, keepdims=True)
-    return logits
+    return logits @ np.ones(logits.shape[1], np.float32)
 
 
-def log_probs(p: dict, tables: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Natural log probability of the masked targets, in row order."""
-    h = _hidden(p, x)[-1][mask.ravel()]
-    prev, target = x[mask], y[mask]
-    group, member = target >> 5, target & 31
-    rows = np.arange(len(target))
-    lg = h @ p["g"]
-    lg += tables[0].take(prev, 0)
-    out = lg[rows, group]
-    out -= _log_sum(lg)
+def _member_logits(p: dict, tables, h: np.ndarray, prev: np.ndarray, group: np.ndarray):
+    """(order of the rows by group, first row of each group, the rows of h so, their member logits)."""
     order = np.argsort(group.astype(np.uint8), kind="stable")
     edge = np.searchsorted(group[order], np.arange(GROUPS + 1))
     lm = np.empty((len(order), MEMBERS), np.float32)
@@ -99,70 +98,90 @@ def log_probs(p: dict, tables: tuple[np.ndarray, np.ndarray], x: np.ndarray, y:
     for c in range(GROUPS):
         s = slice(edge[c], edge[c + 1])
         np.matmul(hs[s], p["m"][c], out=lm[s])
-    lm += tables[1].reshape(-1, MEMBERS).take(prev[order] * GROUPS + group[order], 0)
-    out[order] += lm[rows, member[order]] - _log_sum(lm)
-    return out
+    lm += tables[1].reshape(-1, MEMBERS).take((prev * GROUPS + group)[order], 0)
+    return order, edge, hs, lm
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    """log sum exp by rows; logits are log probabilities plus small residuals, so none is large."""
-    np.minimum(logits, np.float32(60), out=logits)
-    np.exp(logits, out=logits)
-    return np.log(logits @ np.ones(logits.shape[1], np.float32))
+def log_probs(p: dict, tables: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.ndarray, ready: tuple | None = None) -> np.ndarray:
+    """Natural log probability of the masked targets, in row order; ``ready`` is :func:`projected` of the weights."""
+    at = np.flatnonzero(mask)
+    h = _hidden(p, ready or projected(p), x)[-1].take(at, 0)
+    prev, target = x.ravel()[at], y.ravel()[at]
+    group, member = target >> 5, target & 31
+    rows = np.arange(len(target))
+    lg = h @ p["g"]
+    lg += tables[0].take(prev, 0)
+    out = lg[rows, group]
+    out -= np.log(_exp_rows(lg))
+    order, _, _, lm = _member_logits(p, tables, h, prev, group)
+    own = lm[rows, member[order]]
+    own -= np.log(_exp_rows(lm))
+    out[order] += own
+    return out
 
 
 def gradient(flat: np.ndarray, tables, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Gradient of the mean negative log probability of the masked targets."""
     p, out = unpack(flat), np.zeros(SIZE, np.float32)
     d = unpack(out)
-    emb, q, k, v, a, mixed, u, z, h = _hidden(p, x, normal=True)
+    emb, q, k, v, a, mixed, u, z, h = _hidden(p, projected(p), x, normal=True)
     n, length = x.shape
-    mask = mask.ravel()
+    at = np.flatnonzero(mask)
     x, y = x.ravel(), y.ravel()
-    hm, prev, target = h[mask], x[mask], y[mask]
-    group, member = np.divmod(target, MEMBERS)
+    hm, prev, target = h.take(at, 0), x[at], y[at]
+    group, member = target >> 5, target & 31
     count = np.float32(1 / max(1, len(target)))
     rows = np.arange(len(target))
-    pg = _softmax(hm @ p["g"] + tables[0][prev])
-    pg[rows, group] -= 1
-    pg *= count
+    pg = hm @ p["g"]
+    pg += tables[0].take(prev, 0)
+    pg *= (count / _exp_rows(pg))[:, None]
+    pg[rows, group] -= count
     d["g"][:] = hm.T @ pg
     dhm = pg @ p["g"].T
-    order = np.argsort(group, kind="stable")
-    edge = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    order, edge, hs, pm = _member_logits(p, tables, hm, prev, group)
+    pm *= (count / _exp_rows(pm))[:, None]
+    pm[rows, member[order]] -= count
+    dhs = np.empty_like(hs)
     for c in range(GROUPS):
-        at = order[edge[c] : edge[c + 1]]
-        if len(at):
-            pm = _softmax(hm[at] @ p["m"][c] + tables[1][prev[at], c])
-            pm[np.arange(len(at)), member[at]] -= 1
-            pm *= count
-            d["m"][c] = hm[at].T @ pm
-            dhm[at] += pm @ p["m"][c].T
-    dh = np.zeros_like(h)
-    dh[mask] = dhm
-    dz = (dh @ p["w2"].T) * (z > 0)
+        s = slice(edge[c], edge[c + 1])
+        np.matmul(hs[s].T, pm[s], out=d["m"][c])
+        np.matmul(pm[s], p["m"][c].T, out=dhs[s])
+    dhm[order] += dhs
+    if len(at) == len(h):
+        dh = dhm
+    else:
+        dh = np.zeros_like(h)
+        dh[at] = dhm
+    dz = dh @ p["w2"].T
+    dz *= z > 0
     d["w2"][:] = z.T @ dh
     d["w1"][:] = u.T @ dz
     d["b1"][:] = dz.sum(0)
-    du = dh + dz @ p["w1"].T
+    du = dz @ p["w1"].T
+    du += dh
     d["o"][:] = mixed.T @ du
-    dmix = (du @ p["o"].T).reshape(n, length, HEADS, -1).transpose(0, 2, 1, 3)
-    da = dmix @ v.transpose(0, 1, 3, 2)
-    dv = a.transpose(0, 1, 3, 2) @ dmix
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    by_distance = ds.sum(0)
+    split = np.ascontiguousarray((du @ p["o"].T).reshape(n, length, HEADS, -1).transpose(2, 0, 1, 3))
+    da = np.matmul(split, v.transpose(0, 1, 3, 2))
+    # the softmax's slope needs sum(da * a) by row, which is the output's product with its own gradient
+    both = (mixed * (du @ p["o"].T)).reshape(n, length, HEADS, -1).sum(3).transpose(2, 0, 1)[..., None]
+    da -= both
+    da *= a
+    by_distance = da.sum(1)
     for j in range(HEADS):
         d["r"][j] = np.bincount(_DISTANCE[:length, :length].ravel(), (by_distance[j] * _CAUSAL[:length, :length]).ravel(), LENGTH)
     scale = np.float32((WIDTH // HEADS) ** -0.5)
-    dq, dk = ds @ k * scale, ds.transpose(0, 1, 3, 2) @ q  # q is scaled already
+    turned = np.empty((3, n, length, HEADS, WIDTH // HEADS), np.float32)
+    for i, g in enumerate((np.matmul(da, k), np.matmul(da.transpose(0, 1, 3, 2), q), np.matmul(a.transpose(0, 1, 3, 2), split))):  # q is scaled already
+        turned[i] = g.transpose(1, 2, 0, 3)
+    turned[0] *= scale
     demb = du
-    for name, g in (("q", dq), ("k", dk), ("v", dv)):
-        g = g.transpose(0, 2, 1, 3).reshape(n * length, WIDTH)
+    for name, g in zip(("q", "k", "v"), turned.reshape(3, n * length, WIDTH)):
         d[name][:] = emb.T @ g
         demb += g @ p[name].T
-    order = np.argsort(x, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(x[order]) != 0]))
-    d["e"][x[order][first]] = np.add.reduceat(demb[order], first)
+    order = np.argsort(x.astype(np.uint16), kind="stable")
+    sx = x[order]
+    first = np.flatnonzero(np.concatenate([[True], sx[1:] != sx[:-1]]))
+    d["e"][sx[first]] = np.add.reduceat(demb.take(order, 0), first)
     return out
 
 

@@ -5,18 +5,21 @@ single spaces, then one end.  Frequent byte-level BPE ids are classes; the other
 share an escape class and an add-one unigram.  Documents whose crc32 fold is 2 are
 held out of all learning.
 
-Passes over the texts:
-
-1. on all training documents: the ids, which are written to the shared folder, and
-   word counts (by 64-bit hash), aggregated in Spark;
-2. on all these ids: id counts, from which the classes are chosen, then class
-   bigrams;
-3. a round for each of ``RATES``.  The rounds deal the training documents out among
-   them, so that each is learned from once: every task trains the attention model from
-   the common weights on what it reads and the weights are averaged by tokens, in
-   steps of bounded fan-in;
-4. on all documents: scores.  Overlapping windows, batched, with a mask so that
-   every token is scored once.
+Passes:
+
+1. over the training texts: word counts (by 64-bit hash), aggregated in Spark;
+2. over all texts, once: ids, the counts of known words and what the base score needs,
+   written to the shared folder.  No later pass reads a text;
+3. over the ids of all training documents: id counts, from which the classes are
+   chosen, then class bigrams;
+4. a round for each of ``RATES``.  The rounds deal the training documents out among
+   them, so that each is learned from once.  A round's documents are dealt by hash to
+   shards of about ``SHARD_DOCS``; a shard's model starts from the common weights and
+   reads the shard in the order of ids, and the weights of all shards are averaged by
+   tokens, in steps of bounded fan-in.  Shards depend on the documents alone, so the
+   model does not depend on files, partitions or executors;
+5. over all ids: scores.  Overlapping windows, batched, with a mask so that every token
+   is scored once.  (Training windows need not overlap: each token is a target once.)
 
 The add-one word unigram (the base score) needs each word's count.  Words with at
 least ``N / HOT`` occurrences - at most HOT of them, whatever the corpus - go to the
@@ -25,12 +28,16 @@ text's repeats summed first.
 
 Null and empty texts have the end only.  Rows are told apart by their place, so
 repeated doc_ids and null doc_ids are scored like any others (a null doc_id is
-neither held out nor learned from).  An empty table gives no rows; extra columns are
-ignored.
+neither held out nor learned from).  Texts of any length are read whole; equal counts
+are ordered by id.  An empty table gives no rows; extra columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import glob
 import math
 import os
 
@@ -45,7 +52,9 @@ from . import attention
 from .common import LOWER, SPACE_WORDS, fold, held_out, raw_bytes, saved, small_batches, text_array, word_hashes, word_spans
 from .tokens import load_bpe
 
-MOD, HOT = 7, 1 << 17
+MOD, HOT = 7, 1 << 20
+#: Documents of a training shard, ids that it holds at a time, and windows of a step.
+SHARD_DOCS, HELD_IDS, STEP = 2048, 1 << 18, 128
 #: Learning rates of the rounds.
 RATES = (3e-3, 1e-3)
 ESCAPE, END = attention.CLASSES - 2, attention.CLASSES - 1
@@ -87,9 +96,14 @@ class Vocabulary:
         return np.insert(self.of[ids], off[1:], END), off + np.arange(len(off))
 
 
+@functools.lru_cache(maxsize=1)
 def _single_thread() -> None:
-    """One BLAS thread for each task, where the pool can still be told."""
-    os.environ.setdefault("OMP_NUM_THREADS", "1")
+    """One BLAS thread for each task: numpy is loaded already, so its library is told."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            f = getattr(ctypes.CDLL(path), name, None)
+            if f:
+                f(1)
 
 
 def _slices(batches, rows: int = 1000):
@@ -106,24 +120,12 @@ def _id_type(size: int) -> type:
     return np.uint16 if size <= 1 << 16 else np.uint32
 
 
-def _encoded(train: DataFrame, rounds: int, tokenizer: str) -> DataFrame:
-    """round, ids of all training documents; each document is in one round."""
-
-    def run(batches):
-        bpe = load_bpe(tokenizer)
-        kind = _id_type(len(bpe.lengths))
-        for b in _slices(batches):
-            ids, off = bpe.encode_column(normal_texts(text_array(b)))
-            ids = np.asarray(ids).astype(kind)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ids[x:y].tobytes() for x, y in zip(off[:-1], off[1:])], pa.binary())], names=["round", "ids"])
-
-    dealt = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(max(1, rounds))).cast("int").alias("round")
-    return train.select(dealt, "text").mapInArrow(run, "round int, ids binary")
+def _ids_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, n + 1 offsets) of a column of encoded documents."""
+    return _joined(column.to_pylist(), size)
 
 
-def _ids_of(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, n + 1 offsets) of the rows of a batch of encoded documents."""
-    rows = batch.column(0).to_pylist()
+def _joined(rows: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     kind = np.dtype(_id_type(size))
     off = np.cumsum([0, *map(len, rows)]) // kind.itemsize
     return np.frombuffer(b"".join(rows), kind), off
@@ -135,7 +137,7 @@ def _id_counts(encoded: DataFrame, size: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(size, np.int64)
         for b in _slices(batches):
-            total += np.bincount(_ids_of(b, size)[0], minlength=size)
+            total += np.bincount(_ids_of(b.column(0), size)[0], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "c"])
 
@@ -169,7 +171,7 @@ def _pair_counts(encoded: DataFrame, vocab: Vocabulary, size: int) -> np.ndarray
     def run(batches):
         pairs = np.zeros(attention.CLASSES**2, np.int64)
         for b in _slices(batches):
-            s, _ = vocab.classes(*_ids_of(b, size))
+            s, _ = vocab.classes(*_ids_of(b.column(0), size))
             prev = np.concatenate([[END], s[:-1]])
             pairs += np.bincount(prev * attention.CLASSES + s, minlength=len(pairs))
         at = np.flatnonzero(pairs)
@@ -184,40 +186,58 @@ def _pair_counts(encoded: DataFrame, vocab: Vocabulary, size: int) -> np.ndarray
     return out.reshape(attention.CLASSES, -1)
 
 
-def _train_round(chosen: DataFrame, k: int, rate: float, least: int, weights: np.ndarray, vocab: Vocabulary, tables, size: int, fan_in: int = 64) -> np.ndarray:
-    """Weights averaged over the tasks' local training on the documents of round ``k``.
+def _train_round(chosen: DataFrame, k: int, rate: float, least: int, weights: np.ndarray, vocab: Vocabulary, tables, size: int, shards: int, fan_in: int = 64) -> np.ndarray:
+    """Weights averaged over the shards' training on the documents of round ``k`` (shard, doc_id, ids).
 
-    A task learns from each of its documents once, and again until it has made ``least`` steps.
+    A shard learns from each of its documents once, and again until it has made ``least`` steps.
     """
-    sc = chosen.sparkSession.sparkContext
-    sent = sc.broadcast((weights, vocab, tables))
+    spark = chosen.sparkSession
+    sent = spark.sparkContext.broadcast((weights, vocab, tables))
+
+    class Shard:
+        def __init__(self, number, start):
+            self.model, self.rng = attention.Adam(start, rate), np.random.default_rng([k, number])
+            self.rows, self.held, self.seen, self.kept, self.n_kept = [], 0, 0, [], 0
+
+        def learn(self, x, y, mask):
+            order = self.rng.permutation(len(x))
+            for lo in range(0, len(order), STEP):
+                w = order[lo : lo + STEP]
+                self.model.step(attention.gradient(self.model.flat, sent.value[2], x[w], y[w], mask[w]))
+
+        def flush(self):
+            s, so = sent.value[1].classes(*_joined(self.rows, size))
+            x, y, mask, _ = attention.windows(s, so, END, overlap=0)
+            self.learn(x, y, mask)
+            self.seen += len(s)
+            if self.n_kept < STEP * least:
+                self.kept.append((x, y, mask))
+                self.n_kept += len(x)
+            self.rows, self.held = [], 0
+
+        def done(self):
+            if self.rows:
+                self.flush()
+            while self.model.t < least:
+                self.learn(*(np.concatenate(t) for t in zip(*self.kept)))
+            w = (self.model.flat * np.float64(self.seen)).astype(np.float32)
+            return pa.RecordBatch.from_arrays([pa.array([self.seen], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["n", "w"])
 
     def local(batches):
         _single_thread()
-        start, vocab, tables = sent.value
-        model, seen, kept, n_kept = attention.Adam(start, rate), 0, [], 0
-        rng = np.random.default_rng([k, TaskContext.get().partitionId()])
-
-        def learn(x, y, mask):
-            order = rng.permutation(len(x))
-            for lo in range(0, len(order), 64):
-                w = order[lo : lo + 64]
-                model.step(attention.gradient(model.flat, tables, x[w].astype(np.int64), y[w].astype(np.int64), mask[w]))
-
-        for b in _slices(batches, 100):
-            s, so = vocab.classes(*_ids_of(b, size))
-            x, y, mask, _ = attention.windows(s, so, END)
-            learn(x, y, mask)
-            seen += len(s)
-            if n_kept < 64 * least:
-                kept.append((x.astype(np.int16), y.astype(np.int16), mask))
-                n_kept += len(x)
-        if kept:
-            kept = [np.concatenate(t) for t in zip(*kept)]
-            while model.t < least:
-                learn(*kept)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(model.flat * np.float64(seen)).astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
+        at, shard = None, None
+        for b in batches:
+            for number, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if number != at:
+                    if shard:
+                        yield shard.done()
+                    at, shard = number, Shard(number, sent.value[0])
+                shard.rows.append(ids)
+                shard.held += len(ids)
+                if shard.held >= HELD_IDS:
+                    shard.flush()
+        if shard:
+            yield shard.done()
 
     def total(batches):
         n, w = 0, 0.0
@@ -227,13 +247,13 @@ def _train_round(chosen: DataFrame, k: int, rate: float, least: int, weights: np
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
 
-    chosen = chosen.select("ids")
-    parts = chosen.rdd.getNumPartitions()
-    got = chosen.mapInArrow(local, "n long, w binary")
+    parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = chosen.repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("shard", "doc_id", F.xxhash64("ids"))
+    got = dealt.select("shard", "ids").mapInArrow(local, "n long, w binary")
     while parts > fan_in:  # a shuffle, so that training keeps its tasks
         parts = -(-parts // fan_in)
         got = got.repartition(parts).mapInArrow(total, "n long, w binary")
-    rows = got.collect()
+    rows = got.collect()  # at most fan_in rows, or shards
     n = sum(r[0] for r in rows)
     return (sum(np.frombuffer(r[1], np.float32).astype(np.float64) for r in rows) / n).astype(np.float32) if n else weights
 
@@ -246,29 +266,19 @@ def score(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", rates: tuple[fl
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     train = _training(docs)
     size = len(load_bpe(tokenizer).lengths)
+    kind = _id_type(size)
     n_train = train.count()
-    encoded = saved(_encoded(train, len(rates), tokenizer))
-    id_counts = _id_counts(encoded, size)
-    vocab = Vocabulary(_top_ids(id_counts), size)
-    vocab.set_tail(id_counts)
-    tables = attention.tables_of(_pair_counts(encoded, vocab, size))
     words = saved(_word_counts(train))
     n_words, n_distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = n_words + n_train, n_distinct + (n_train > 0)
-    weights = attention.initial()
-    for k, rate in enumerate(rates):
-        weights = _train_round(encoded.filter(F.col("round") == k), k, rate, least_steps, weights, vocab, tables, size)
     # at most ``hot`` words reach the threshold
     few = words.filter(F.col("c") >= max(1, -(-total // hot))).toArrow()
     order = np.argsort(few["key"].to_numpy())
-    hot_key, hot_log = few["key"].to_numpy()[order], np.log10(few["c"].to_numpy()[order] + 1.0)
-    sent = sc.broadcast((weights, vocab, tables, hot_key, hot_log))
+    hot_sent = sc.broadcast((few["key"].to_numpy()[order], np.log10(few["c"].to_numpy()[order] + 1.0)))
 
-    def run(batches):
-        _single_thread()
+    def measure(batches):
         bpe = load_bpe(tokenizer)
-        weights, vocab, tables, hot_key, hot_log = sent.value
-        p = attention.unpack(weights)
+        hot_key, hot_log = hot_sent.value
         place = TaskContext.get().partitionId() << 33
         for b in _slices(batches, 500):
             texts, n = text_array(b), b.num_rows
@@ -281,18 +291,10 @@ def score(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", rates: tuple[fl
             base = np.bincount(doc[is_hot], hot_log[at[is_hot]] if len(hot_key) else None, n)
             known = np.bincount(doc[is_hot], minlength=n)
             ids, off = bpe.encode_column(normal_texts(texts))
-            s, so = vocab.classes(ids, off)
-            x, y, mask, text = attention.windows(s, so, END)
-            lp = np.add.reduceat(np.append(vocab.tail[ids], 0.0), off[:-1]) * (off[1:] > off[:-1])
-            for lo in range(0, len(x), BATCH):
-                w = slice(lo, lo + BATCH)
-                got = attention.log_probs(p, tables, x[w], y[w], mask[w])
-                lp += np.bincount(np.repeat(text[w], mask[w].sum(1)), got, n)
+            ids = np.asarray(ids).astype(kind)
+            rows = pa.array([ids[x:y].tobytes() for x, y in zip(off[:-1], off[1:])], pa.binary())
             none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own), b.column(0), b.column(2), pa.array(per + 1), pa.array(known), pa.array(base.astype(np.float64)), pa.array(lp / math.log(10)), none, none],
-                names=names,
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(own), b.column(0), b.column(2), b.column(3), b.column(4), pa.array(per + 1), pa.array(known), pa.array(base.astype(np.float64)), rows, none, none], names=names)
             rare, rd = h[~is_hot], doc[~is_hot]
             order = np.lexsort((rare, rd))
             rare, rd = rare[order], rd[order]
@@ -300,17 +302,49 @@ def score(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", rates: tuple[fl
             times = np.diff(np.append(first, len(rare)))
             for lo in range(0, len(first), 50_000):
                 f = first[lo : lo + 50_000]
-                void = [pa.nulls(len(f), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                void = [pa.nulls(len(f), t) for t in (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array(own[rd[f]]), *void, pa.array(rare[f]), pa.array(times[lo : lo + 50_000])], names=names)
 
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "key", "times"]
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, key long, times long"
-    parts = saved(docs.select("doc_id", "text", held_out(MOD).alias("held_out")).mapInArrow(run, schema))
+    names = ["row", "doc_id", "held_out", "round", "shard", "n_tokens", "known", "base", "ids", "key", "times"]
+    schema = "row long, doc_id long, held_out boolean, round int, shard long, n_tokens long, known long, base double, ids binary, key long, times long"
+    shards = max(1, n_train // (len(rates) * SHARD_DOCS))
+    learned = F.col("doc_id").isNotNull() & (fold(MOD) != 2)
+    deal = lambda seed, n: F.when(learned, F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(n)))
+    columns = ["doc_id", "text", held_out(MOD).alias("held_out"), deal(17, max(1, len(rates))).cast("int").alias("round"), deal(19, shards).alias("shard")]
+    parts = saved(docs.select(*columns).mapInArrow(measure, schema))
+    whole = parts.filter("ids is not null").drop("key", "times")
+    encoded = whole.filter("round is not null").select("round", "shard", "doc_id", "ids")
+    id_counts = _id_counts(encoded, size)
+    vocab = Vocabulary(_top_ids(id_counts), size)
+    vocab.set_tail(id_counts)
+    tables = attention.tables_of(_pair_counts(encoded, vocab, size))
+    weights = attention.initial()
+    for k, rate in enumerate(rates):
+        weights = _train_round(encoded.filter(F.col("round") == k), k, rate, least_steps, weights, vocab, tables, size, shards)
+    sent = sc.broadcast((weights, vocab, tables))
+
+    def run(batches):
+        _single_thread()
+        weights, vocab, tables = sent.value
+        p = attention.unpack(weights)
+        ready = attention.projected(p)
+        for b in _slices(batches, 500):
+            ids, off = _ids_of(b.column(0), size)
+            s, so = vocab.classes(ids, off)
+            x, y, mask, text = attention.windows(s, so, END)
+            lp = np.add.reduceat(np.append(vocab.tail[ids], 0.0), off[:-1]) * (off[1:] > off[:-1])
+            for lo in range(0, len(x), BATCH):
+                w = slice(lo, lo + BATCH)
+                got = attention.log_probs(p, tables, x[w], y[w], mask[w], ready)
+                lp += np.bincount(np.repeat(text[w], mask[w].sum(1)), got, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lp / math.log(10))], names=[*kept, "score"])
+
+    kept = ["row", "doc_id", "held_out", "n_tokens", "known", "base"]
+    scored = saved(whole.select("ids", *kept).mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"))
     rare = parts.filter("key is not null").select("row", "key", "times").join(words, "key")
     rare = rare.groupBy("row").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_base"))
-    whole = parts.filter("n_tokens is not null").select("row", "doc_id", "held_out", "n_tokens", "known", "base", "score")
     end_log = math.log10(n_train + 1)
-    return whole.join(rare, "row", "left").select(
+    return scored.join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0)) + (1 if n_train else 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + F.lit(end_log) - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"), "score",
     )
