@@ -26,9 +26,9 @@ Components come from alternating large-star and small-star steps over links, wit
 each step written to the shared folder.  Nothing is collected to the driver but
 counts.
 
-Buckets, links and components are joined by tables that are written first, so that both
-sides of such a join are plain shuffles and adaptive execution can split a hot key.
-Scratch tables are deleted as soon as nothing reads them again.
+Totals by bucket or node are shuffled once more before they are joined (:func:`_apart`),
+so that both sides of such a join are plain shuffles and adaptive execution can split a
+hot key.  Scratch tables are deleted as soon as nothing reads them again.
 
 Null doc_ids cannot be named: such rows have a null component and are kept.  Rows
 that repeat a doc_id are separate texts with the same name.  Null and empty texts have
@@ -207,20 +207,26 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataF
     return out
 
 
+def _apart(totals: DataFrame, key: str) -> DataFrame:
+    """Totals whose partitioning by ``key`` the planner does not see, so that a join does not reuse the aggregate's shuffle.
+
+    A join side that is an aggregate keeps a hot key of the other side in one task.
+    """
+    return totals.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """node, comp (its smallest reachable node) of every node of the links (a, b)."""
     edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
     for _ in range(most):
         both = edges.union(edges.select("v", "u"))
-        # written, so that the join's two sides are shuffles of their own and a hub can be split
-        low = lows = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = _apart(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = saved(large)
-        low = saved(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = _apart(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
         old, edges = edges, saved(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-        forget(old, low, lows, large)
+        forget(old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             out = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
@@ -269,14 +275,12 @@ def _open_buckets(members: DataFrame, reps: DataFrame, comps: DataFrame, block:
     """Rows of the buckets that hold several components: each member at home in one block, strays visiting all blocks."""
     named = members.join(comps, members["rep"] == comps["node"], "left").select("key", "band", "lead", "rep", F.coalesce("comp", "rep").alias("comp"))
     stats = named.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("rep") == F.col("lead"), F.col("comp"))).alias("main")).filter("lo <> hi").select("key", "m", "main")
-    stats = saved(stats)
+    stats = _apart(stats, "key")
     open_ = named.join(stats, "key").join(reps, "rep").select("key", "band", "lead", "rep", "comp", "n", "reg", (F.col("comp") != F.col("main")).alias("stray"), F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     home = open_.select("*", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("salt"), F.lit(False).alias("visits"))
     guest = open_.filter("stray").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(True).alias("visits"))
     columns = ["key", "salt", "visits", "band", "lead", "rep", "comp", "n", "reg", "stray"]
-    rows = saved(home.select(*columns).union(guest.select(*columns)))
-    forget(stats)
-    return rows
+    return saved(home.select(*columns).union(guest.select(*columns)))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -346,13 +350,13 @@ def near_duplicates(docs: DataFrame, k: int = 4, threshold: int = THRESHOLD, blo
     reps = saved(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("reg").alias("reg"), F.count("*").alias("copies")))
     keys = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("reg", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BANDS)])).alias("band", "key")
     bands = reps.select("rep", keys)
-    buckets = saved(bands.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("lead")).filter("m > 1").select("key", "lead"))
+    buckets = _apart(bands.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("lead")).filter("m > 1").select("key", "lead"), "key")
     members = saved(bands.join(buckets, "key").select("key", "band", "lead", "rep"))
     look_up = reps.select("rep", "n", "reg")
     stars = members.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     likely_pairs = saved(_may_link(stars, look_up, threshold))
     links = _confirm(likely_pairs, docs, k, threshold)
-    forget(buckets, likely_pairs)
+    forget(likely_pairs)
     comps = components(links)
     late = _late_links(_open_buckets(members, look_up, comps, block), docs, k, threshold)
     if late is not None:
