@@ -145,3 +145,12 @@ def paillier_sum(df: DataFrame, by: str, cipher: str, key: Paillier, name: str =
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     some = df.select(F.col(by).cast("bigint").alias(by), cipher).mapInArrow(partial, ddl)
     return some.repartition(parts, by).sortWithinPartitions(by).mapInArrow(final, ddl)
+
+
+def paillier_tumbling_sum(df: DataFrame, order: str, cipher: str, size: int, key: Paillier, name: str = "product") -> DataFrame:
+    """block, ciphertext of the sum of each complete block of ``size`` arrivals."""
+    from ..operators.sequencing import block_number, with_sequence
+
+    numbered, n = with_sequence(df.select(order, cipher), order, "_seq")
+    blocks = numbered.filter(F.col("_seq") <= n // size * size).select(block_number(F.col("_seq"), size).alias("block"), cipher)
+    return paillier_sum(blocks, "block", cipher, key, name)

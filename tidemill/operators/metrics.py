@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sequencing import keyed_running, lagged
+
+
+def _last(i: int) -> Column:
+    """Column ``i`` of the row before; NULL for a key's first row."""
+    return F.get("_before", F.lit(0))[f"v{i}"]
+
 
 def rolling_mean(df: DataFrame, task: str, order: str, value: str, n: int, name: str = "mean") -> DataFrame:
-    """Mean of the task's last ``n`` samples."""
-    return df.withColumn(name, F.avg(value).over(Window.partitionBy(task).orderBy(order).rowsBetween(-(n - 1), 0)))
+    """Mean of the task's last ``n`` samples; those without a value do not count."""
+    if n == 1:
+        return df.withColumn(name, F.col(value).cast("double"))
+    some = F.filter(F.concat(F.transform("_before", lambda x: x["v0"]), F.array(value)), lambda x: x.isNotNull())
+    total = F.aggregate(some, F.lit(0).cast(_sum_type(df, value)), lambda a, x: a + x)
+    return lagged(df, [task], [order], [value], n - 1).withColumn(name, F.when(F.size(some) > 0, total / F.size(some))).drop("_before")
+
+
+def _sum_type(df: DataFrame, value: str) -> str:
+    return "bigint" if dict(df.dtypes)[value] in ("tinyint", "smallint", "int", "bigint") else "double"
 
 
 def cumulative_mean(df: DataFrame, task: str, order: str, value: str, name: str = "mean") -> DataFrame:
-    return df.withColumn(name, F.avg(value).over(Window.partitionBy(task).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    """Mean of the task's samples so far; NULL before the first value."""
+    both = keyed_running(df, [task], order, {"_sum": ("sum", F.col(value)), "_count": ("count", F.col(value))})
+    return both.withColumn(name, F.when(F.col("_count") > 0, F.col("_sum") / F.col("_count"))).drop("_sum", "_count")
 
 
 def slope(df: DataFrame, task: str, order: str, ms: str, value: str, name: str = "slope") -> DataFrame:
     """Absolute change since the last sample per ms; NULL without one or without time between."""
-    w = Window.partitionBy(task).orderBy(order)
-    dt = F.col(ms) - F.lag(ms).over(w)
-    return df.withColumn(name, F.abs(F.col(value) - F.lag(value).over(w)) / F.when(dt != 0, dt))
+    dt = F.col(ms) - _last(0)
+    return lagged(df, [task], [order], [ms, value]).withColumn(name, F.abs(F.col(value) - _last(1)) / F.when(dt != 0, dt)).drop("_before")
 
 
 def rate(df: DataFrame, ms: str, every: int, by: tuple[str, ...] = (), name: str = "n") -> DataFrame:
@@ -55,13 +71,27 @@ def extract_series(lines: DataFrame) -> DataFrame:
     return lines.select(F.inline(F.filter(found, lambda x: x["value"].isNotNull())))
 
 
+#: Fields of a line of operator statistics.
+STATISTIC_FIELDS = ("cpu", "memory", "latency", "throughput", "selectivity", "plain", "det", "rnd", "ope", "hom")
+
+
+def parse_statistics(lines: DataFrame, name: str = "value") -> DataFrame:
+    """operator, the ten numbers of a ``cpu,memory,...`` line; lines with fewer fields or another text in one are dropped."""
+    p = F.split(name, ",", -1)
+    cells = [F.trim(F.get(p, F.lit(i))).try_cast("double").alias(f) for i, f in enumerate(STATISTIC_FIELDS)]
+    whole = F.lit(True)
+    for f in STATISTIC_FIELDS:
+        whole = whole & F.col(f).isNotNull()
+    return lines.select("operator", *cells).filter(whole)
+
+
 def metric_avg(df: DataFrame, task: str, metric: str, value: str, name: str = "mean") -> DataFrame:
     return df.groupBy(task, metric).agg(F.avg(value).alias(name))
 
 
 def metric_series(df: DataFrame, by: list[str], order: str, name: str = "idx") -> DataFrame:
     """Samples numbered from 0 within each series."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("long"))
+    return keyed_running(df, by, order, {name: ("count", F.lit(1))}).withColumn(name, F.col(name) - 1)
 
 
 def two_level_means(df: DataFrame, operator: Column, task: str, values: list[str]) -> DataFrame:
@@ -71,31 +101,47 @@ def two_level_means(df: DataFrame, operator: Column, task: str, values: list[str
 
 
 def latency_summary(df: DataFrame, by: str, value: str, percents: tuple[int, ...] = (25, 50, 75, 90, 99)) -> DataFrame:
-    """Mean, extremes and linearly interpolated percentiles (position p (n - 1) + 1)."""
-    cells = [F.percentile(value, F.lit(p / 100)).alias(f"p{p}") for p in percents]
-    return df.groupBy(by).agg(F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), *cells)
+    """Mean, extremes and linearly interpolated percentiles (position p (n - 1) + 1).
+
+    Exact: equal values are counted first, running counts over the counted values give ranks,
+    and the values at the two ranks around each position are picked.  No task holds a group.
+    """
+    known = df.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ranked = keyed_running(known, [by], "_v", {"_upto": ("sum", F.col("_n"))})
+    whole = df.groupBy(F.col(by).alias("_by")).agg(F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("_all"))
+    at = {p: F.lit(p / 100) * (F.col("_all") - 1) for p in percents}
+    pick = lambda rank: F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), F.col("_v").cast("double")))
+    cells = [c for p in percents for c in (pick(F.floor(at[p])).alias(f"_a{p}"), pick(F.ceil(at[p])).alias(f"_b{p}"))]
+    around = ranked.join(whole.select("_by", "_all"), F.col(by).eqNullSafe(F.col("_by"))).groupBy("_by").agg(*cells).withColumnRenamed("_by", "_same")
+    mixed = [(F.col(f"_a{p}") + (F.col(f"_b{p}") - F.col(f"_a{p}")) * (at[p] - F.floor(at[p]))).alias(f"p{p}") for p in percents]
+    return whole.join(around, F.col("_by").eqNullSafe(F.col("_same")), "left").select(F.col("_by").alias(by), "mean", "low", "high", *mixed)
 
 
 def close_pairs(df: DataFrame, first: str, second: str, within: int = 1000, name: str = "n") -> DataFrame:
     return df.agg(F.count_if(F.abs(F.col(second) - F.col(first)) < within).alias(name))
 
 
-def disorder(df: DataFrame, by: str, order: str, ms: str, limit: int = 1000) -> DataFrame:
+def close_neighbours(df: DataFrame, by: str, order: str, ms: str, within: int = 1000, name: str = "n") -> DataFrame:
+    """Rows less than ``within`` ms from the row before of their key."""
+    pairs = lagged(df.select(by, order, ms), [by], [order], [ms]).select(F.col(ms).alias("_ms"), _last(0).alias("_last"))
+    return close_pairs(pairs, "_ms", "_last", within, name)
+
+
+def disorder(df: DataFrame, by: str, order: str | list[str], ms: str, limit: int = 1000) -> DataFrame:
     """Rows that are earlier than the one before, and gaps below or above ``limit`` ms."""
-    gap = F.col(ms) - F.lag(ms).over(Window.partitionBy(by).orderBy(order))
-    g = df.select(by, gap.alias("_gap"))
+    order = [order] if isinstance(order, str) else order
+    g = lagged(df, [by], order, [ms]).select(by, (F.col(ms) - _last(0)).alias("_gap"))
     return g.groupBy(by).agg(F.count_if(F.col("_gap") < 0).alias("backwards"), F.count_if(F.abs("_gap") < limit).alias("within"), F.count_if(F.abs("_gap") >= limit).alias("beyond"))
 
 
 def clock_free_latency(df: DataFrame, link: str, order: str, local: str, remote: str, name: str = "latency") -> DataFrame:
     """Mean difference between gaps of two clocks: the clocks' offset cancels out."""
-    w = Window.partitionBy(link).orderBy(order)
-    gaps = df.select(link, F.abs((F.col(local) - F.lag(local).over(w)) - (F.col(remote) - F.lag(remote).over(w))).alias("_d"))
+    gaps = lagged(df, [link], [order], [local, remote]).select(link, F.abs((F.col(local) - _last(0)) - (F.col(remote) - _last(1))).alias("_d"))
     return gaps.groupBy(link).agg(F.avg("_d").alias(name))
 
 
 def tick_latency(df: DataFrame, task: str, order: str, ms: str, period: int, name: str = "latency") -> DataFrame:
-    return df.withColumn(name, F.col(ms) - F.lag(ms).over(Window.partitionBy(task).orderBy(order)) - period)
+    return lagged(df, [task], [order], [ms]).withColumn(name, F.col(ms) - _last(0) - period).drop("_before")
 
 
 def replay(statistics: DataFrame, events: DataFrame, ts: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Every join is an equi-join on the key and on a *block* of the position (time bucket
 or arrival number), with the exact bounds as a filter.  A probe's interval is not
 longer than a block, so it is dealt to two blocks at most.  A hot key is thereby
-spread over its blocks, and no key's rows meet all of its other rows.
+spread over its blocks, and no key's rows meet all of its other rows.  Theta joins
+have no key; their blocks are spread over shares.
 """
 
 from __future__ import annotations
@@ -17,22 +18,33 @@ from .relational import COMPARISONS
 from .sequencing import bucket_of, check_window, running
 
 
+#: Shares of a block's stored rows in a join without a key.
+SHARES = 16
+
+
 def banded_join(stored: DataFrame, probes: DataFrame, key: str | None, position: str, low: str, high: str, width: int, extra: Column | None = None) -> DataFrame:
     """stored ⋈ probes on equal ``key`` (if any) where low <= position <= high; high - low < width.
 
-    The sides' other columns must differ; ``extra`` is a further condition.
+    The sides' other columns must differ; ``extra`` is a further condition.  Without a key, a
+    block's stored rows are dealt out to SHARES and each probe goes to all of them, so that
+    a full block is many tasks'.
     """
     block = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
     left = stored.withColumn("_block", block(position))
     right = probes.filter(F.col(low) <= F.col(high)).withColumn("_block", F.explode(F.sequence(block(low), block(high))))
     if key is not None:
         right = right.withColumnRenamed(key, "_key")
+    else:
+        left = left.withColumn("_share", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in stored.columns]), F.lit(SHARES)).cast("int"))
+        right = right.withColumn("_probed", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
     on = (left["_block"] == right["_block"]) & (F.col(position) >= F.col(low)) & (F.col(position) <= F.col(high))
     if key is not None:
         on = on & (F.col(key) == F.col("_key"))
+    else:
+        on = on & (F.col("_share") == F.col("_probed"))
     if extra is not None:
         on = on & extra
-    return left.join(right, on).drop(left["_block"]).drop(right["_block"]).drop("_key")
+    return left.join(right, on).drop(left["_block"]).drop(right["_block"]).drop("_key", "_share", "_probed")
 
 
 def _sides(stored: DataFrame, probes: DataFrame, key: str, ms: str, order: str) -> tuple[DataFrame, DataFrame]:
@@ -76,10 +88,13 @@ def sliding_equi_join(stored: DataFrame, probes: DataFrame, key: str, ms: str, o
     return out.drop("_lo", "_hi", "s_b")
 
 
-def symmetric_sliding_join(left: DataFrame, right: DataFrame, key: str, ms: str, order: str, window: int, slide: int, dedup: bool = False) -> DataFrame:
-    """Both directions over one ring: columns key, l_*, r_* whichever side came first."""
+def symmetric_sliding_join(left: DataFrame, right: DataFrame, key: str, ms: str, order: str, window: int, slide: int, dedup: bool = False, t0: int | None = None) -> DataFrame:
+    """Both directions over one ring: columns key, l_*, r_* whichever side came first.
+
+    ``t0`` is the first row's time of both sides unless given.
+    """
     cap = check_window(window, slide)
-    t0 = min([x for x in (left.agg(F.min(ms)).first()[0], right.agg(F.min(ms)).first()[0]) if x is not None], default=0)
+    t0 = t0 if t0 is not None else min([x for x in (left.agg(F.min(ms)).first()[0], right.agg(F.min(ms)).first()[0]) if x is not None], default=0)
 
     def one(stored, probes, a, b):
         out = _ring_join(stored, probes, key, ms, order, window, slide, t0, cap, dedup)

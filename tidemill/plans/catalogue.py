@@ -96,6 +96,53 @@ def q5_revenue(spark, d):
     return star.local_revenue(spark, d)
 
 
+def _paced(name: str, table: str, columns: str, order: str, source: int, sources: int = 4) -> str:
+    """A relation of a paced source: 1000 rows a second, so the arrival time is the row number."""
+    return f"{name} AS (SELECT {columns}, ms, ms * {sources} + {source} AS arrival FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS ms FROM {table}))"
+
+
+def _windowed(name: str, left: str, right: str, on: str, columns: str, w: int = star.WINDOW, s: int = star.SLIDE) -> str:
+    """Relations ``name``: pairs of x of ``left`` and y of ``right`` whose earlier row is in the ring at the later one."""
+    first = f"(SELECT min(ms) FROM (SELECT ms FROM {left} UNION ALL SELECT ms FROM {right}))"
+    b = lambda x: f"(({x}.ms - {first}) // {s + 1})"
+    alive = lambda x, y: f"{x}.arrival < {y}.arrival AND {first} + {b(x)} * {s + 1} + {w} > {y}.ms AND {b(y)} - {b(x)} < {w // s}"
+    return f"{name} AS (SELECT {columns}, greatest(x.ms, y.ms) AS ms, greatest(x.arrival, y.arrival) AS arrival FROM {left} x JOIN {right} y ON {on} WHERE ({alive('x', 'y')}) OR ({alive('y', 'x')}))"
+
+
+_ORDER_LINE = ", ".join((
+    _paced("o", "orders", "o_orderkey, o_custkey", "o_orderkey", 0, 2),
+    _paced("l", "lineitem", "l_orderkey, l_linenumber, l_suppkey", "l_orderkey, l_linenumber, l_suppkey, l_partkey, l_extendedprice", 1, 2),
+    _windowed("ol", "o", "l", "o_orderkey = l_orderkey", "o_orderkey, o_custkey, l_orderkey, l_linenumber, l_suppkey"),
+))
+
+
+@query(f"WITH {_ORDER_LINE} SELECT l_orderkey, l_linenumber, l_suppkey, o_orderkey, o_custkey, ms FROM ol")
+def order_lineitem_windowed(spark, d):
+    return star.order_lineitem_windowed(spark, d).select("l_orderkey", "l_linenumber", "l_suppkey", "o_orderkey", "o_custkey", "ms")
+
+
+_CORE_WINDOWED = ", ".join((
+    _paced("c", "customer", "c_custkey, c_nationkey", "c_custkey", 0),
+    _paced("o", "orders", "o_orderkey, o_custkey, o_orderdate", "o_orderkey", 1),
+    _paced("l", "lineitem", "l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_discount", "l_orderkey, l_linenumber, l_suppkey, l_partkey, l_extendedprice", 2),
+    _paced("s", "supplier", "s_suppkey, s_nationkey", "s_suppkey", 3),
+    _windowed("co", "c", "o", "c_custkey = o_custkey", "c_custkey, c_nationkey, o_orderkey, o_orderdate"),
+    _windowed("ls", "l", "s", "l_suppkey = s_suppkey", "l_orderkey, l_linenumber, l_extendedprice, l_discount, s_suppkey, s_nationkey"),
+    _windowed("core", "co", "ls", "o_orderkey = l_orderkey", "c_custkey, c_nationkey, o_orderkey, l_linenumber, l_extendedprice, l_discount, s_suppkey, s_nationkey"),
+))
+
+
+@query(f"WITH {_CORE_WINDOWED} SELECT c_custkey, c_nationkey, o_orderkey, l_linenumber, l_extendedprice, l_discount, s_suppkey, s_nationkey, ms FROM core")
+def q5_join_core_windowed(spark, d):
+    return star.star_core_windowed(spark, d).select("c_custkey", "c_nationkey", "o_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "s_suppkey", "s_nationkey", "ms")
+
+
+@query(f"""WITH {_CORE_WINDOWED} SELECT n_name, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round((1 - l_discount) * 100) AS BIGINT)) AS BIGINT) AS revenue_e4
+FROM core JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_nationkey = s_nationkey AND r_name = 'ASIA' GROUP BY n_name""")
+def q5_revenue_windowed(spark, d):
+    return star.local_revenue_windowed(spark, d)
+
+
 # -- sliding-window joins -------------------------------------------------------------------
 _RING = "t AS (SELECT min(ms) AS t0 FROM e WHERE event_type IN ({types})), b AS (SELECT e.*, t0, (ms - t0) // {s1} AS b, t0 + (ms - t0) // {s1} * {s1} AS start FROM e, t)"
 _VIEW_CLICK = "'view', 'click'"
@@ -305,17 +352,13 @@ def latency_percentiles(spark, d):
 
 @query(f"WITH {_E}, g AS (SELECT ms, lag(ms) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM e) SELECT count(*) FILTER (abs(before - ms) < 600000) AS n FROM g")
 def close_pairs_count(spark, d):
-    from pyspark.sql import Window
-
-    e = events(spark, d).withColumn("before", F.lag("ms").over(Window.partitionBy("user_id").orderBy("event_id")))
-    return metrics.close_pairs(e, "ms", "before", 600_000)
+    return metrics.close_neighbours(events(spark, d), "user_id", "event_id", "ms", 600_000)
 
 
 @query(f"""WITH {_E}, g AS (SELECT user_id, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY v, event_id) AS gap FROM e)
 SELECT user_id, count(*) FILTER (gap < 0) AS backwards, count(*) FILTER (abs(gap) < 1000000) AS within, count(*) FILTER (abs(gap) >= 1000000) AS beyond FROM g GROUP BY ALL""")
 def disorder_counts(spark, d):
-    e = events(spark, d).withColumn("arrival", F.struct("v", "event_id"))
-    return metrics.disorder(e, "user_id", "arrival", "ms", 1_000_000)
+    return metrics.disorder(events(spark, d), "user_id", ["v", "event_id"], "ms", 1_000_000)
 
 
 @query(f"""WITH {_E}, g AS (SELECT event_type, abs((ms - lag(ms) OVER w) - (ms * 2 - lag(ms * 2) OVER w)) AS d FROM e WINDOW w AS (PARTITION BY event_type ORDER BY event_id))
@@ -389,6 +432,17 @@ def policy_predicate(spark, d):
     return policy.select_in_force(events(spark, d, "click").select("event_id", "user_id", "ms", "v"), rules, ["user_id"], "ms", "ms", "t", "v").select("event_id", "user_id", "v")
 
 
+@query(f"""WITH {_E}, p AS (SELECT y.event_id, y.user_id, y.event_type, (SELECT arg_max(x.event_id % 4, x.ms) FROM e x WHERE x.event_type = 'signup' AND x.user_id = y.user_id AND x.ms <= y.ms) AS permission FROM e y WHERE y.event_type <> 'signup')
+SELECT event_id, user_id FROM p WHERE event_type = 'click' AND coalesce(permission, 0) IN (0, 2)""")
+def policy_equality(spark, d):
+    rules = events(spark, d, "signup").select("user_id", "ms", (F.col("event_id") % 4).alias("permission"))
+    data = policy.in_force(events(spark, d).filter("event_type <> 'signup'").select("event_id", "user_id", "ms", "event_type"), rules, ["user_id"], "ms", "ms", "permission")
+    # what a provider sends: text, or a cipher while its policy says so
+    sent = F.when(F.coalesce("permission", F.lit(0)) == 0, F.col("event_type")).otherwise(secure.det_encrypt(F.col("event_type"), KEY))
+    data = data.select("event_id", "user_id", "ms", sent.alias("sent"))
+    return policy.select_equal_in_force(data, rules, ["user_id"], "ms", "ms", "permission", "sent", "click", KEY).select("event_id", "user_id")
+
+
 @query("""WITH p AS (SELECT user_id, arg_max(event_id % 3, event_id) AS permission FROM events WHERE event_type = 'signup' GROUP BY user_id)
 SELECT event_id, user_id, CASE WHEN coalesce(permission, 0) = 0 THEN event_type END AS shown FROM events LEFT JOIN p USING (user_id)""")
 def policy_reveal(spark, d):
@@ -425,6 +479,58 @@ def paillier_sum(spark, d):
     return secure.paillier_sum(hidden, "bucket", "c", key).select("bucket", secure.paillier_decrypt(key)("product").cast("bigint").alias("total"))
 
 
+@query(_blocks(50, "CAST(sum(cents) AS BIGINT) AS total", "(SELECT * FROM e WHERE event_type = 'purchase')"))
+def paillier_tumbling_sum(spark, d):
+    key = secure.Paillier.generate(256, seed=11)
+    hidden = events(spark, d, "purchase").select("event_id", secure.paillier_encrypt(key, seed=5)("cents").alias("c"))
+    return secure.paillier_tumbling_sum(hidden, "event_id", "c", 50, key).select("block", secure.paillier_decrypt(key)("product").cast("bigint").alias("total"))
+
+
+@query("SELECT 'u' || user_id AS operator, event_id::DOUBLE AS latency, user_id::DOUBLE AS throughput, (event_id % 7)::DOUBLE AS memory, 5.0::DOUBLE AS hom FROM events WHERE event_id % 5 <> 0")
+def statistics_lines(spark, d):
+    e = parquet(spark, d, "events", ["event_id", "user_id", "value"])
+    fields = ["value", F.col("event_id") % 7, "event_id", "user_id", F.lit(0.5), *map(F.lit, (1, 2, 3, 4)), F.when(F.col("event_id") % 5 == 0, F.lit("x")).otherwise(F.lit("5"))]
+    lines = e.select(F.concat(F.lit("u"), "user_id").alias("operator"), F.concat_ws(",", *[(F.col(f) if isinstance(f, str) else f).cast("string") for f in fields]).alias("value"))
+    return metrics.parse_statistics(lines).select("operator", "latency", "throughput", "memory", "hom")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_id % 3 > 0")
+def delimited_rows(spark, d):
+    # lines of a delimited file, a third of them too short
+    e = parquet(spark, d, "events", ["event_id", "user_id", "event_type", "value"])
+    line = F.when(F.col("event_id") % 3 > 0, F.concat_ws("|", "event_id", "user_id", "event_type", "value")).otherwise(F.concat_ws("|", "event_id", "user_id"))
+    return readers.parse(e.select(line.alias("value")), e.schema, "|")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS stream, CAST(event_id % 5 AS INT) AS permission, 'p' || user_id AS provider, event_type AS field FROM events WHERE event_id % 2 = 0")
+def punctuation_lines(spark, d):
+    e = parquet(spark, d, "events", ["event_id", "user_id", "event_type"])
+    sps = F.concat_ws(",", F.lit("SPS"), "event_id", F.col("event_id") % 5, F.concat(F.lit("p"), "user_id"), "event_type", F.lit("k"))
+    lines = e.select(F.when(F.col("event_id") % 2 == 0, sps).otherwise(F.concat_ws(",", "event_id", "event_type")).alias("value"))
+    return policy.parse_punctuations(policy.split_punctuations(lines)[1]).select("stream", "permission", "provider", "field")
+
+
+@query("SELECT event_id, event_type, 'pln DET pln pln pln' AS enc FROM events")
+def provider_lines(spark, d):
+    e = parquet(spark, d, "events", ["event_id", "event_type"])
+    lines = e.select(F.concat(F.lit("{"), F.concat_ws("|", "event_id", "event_type", F.lit(""), F.lit("DET")), F.lit("}")).alias("value"))
+    return readers.provider_records(lines, ["id", "event_type"]).select(F.col("id").cast("bigint").alias("event_id"), "event_type", "enc")
+
+
+@query("SELECT user_id::INT AS task_id, event_type AS metric, event_id AS ts, CAST(value AS DOUBLE) AS value FROM events")
+def metric_log_lines(spark, d):
+    e = parquet(spark, d, "events", ["event_id", "user_id", "event_type", "value"])
+    lines = e.select(F.concat_ws("\t", F.lit("2024-01-01"), "event_id", F.lit("host:6700"), F.concat(F.col("user_id"), F.lit(":t")), "event_type", "value").alias("value"))
+    out = metrics.parse_metric_log(lines.union(e.select(F.lit("noise").alias("value"))))
+    return out.select(F.col("task_id").cast("int").alias("task_id"), "metric", "ts", F.col("value").cast("double").alias("value"))
+
+
+@query("SELECT 'latency' AS series, CAST(event_id AS DOUBLE) AS value FROM events UNION ALL SELECT 'throughput', CAST(user_id AS DOUBLE) FROM events")
+def log_series(spark, d):
+    e = parquet(spark, d, "events", ["event_id", "user_id"])
+    return metrics.extract_series(e.select(F.concat(F.lit("x latency="), "event_id", F.lit(" throughput: "), "user_id").alias("value")))
+
+
 # -- generators ------------------------------------------------------------------------------------------------
 @query("SELECT CAST(i % 7 + 1 AS VARCHAR) AS key, i + 1 AS cnt FROM range(0, 1000) t(i)")
 def inner_outer_gen(spark, d):
@@ -438,6 +544,14 @@ def inner_outer_join(spark, d):
     return left.join(right, "key")
 
 
+@query(f"""WITH i AS (SELECT CAST(i % 7 + 1 AS VARCHAR) AS i_key, i + 1 AS i_cnt, i + 1 AS ms, (i + 1) * 2 AS arrival FROM range(0, 500) t(i)),
+o AS (SELECT CAST(i % 5 + 1 AS VARCHAR) AS o_key, i + 1 AS o_cnt, i + 1 AS ms, (i + 1) * 2 + 1 AS arrival FROM range(0, 300) t(i)),
+{_windowed("j", "i", "o", "i_key = o_key", "i_key, i_cnt, o_cnt", 100, 20)} SELECT i_key AS key, i_cnt, o_cnt FROM j""")
+def inner_outer_windowed(spark, d):
+    side = lambda n, keys, p, source: generators.balanced(spark, n, keys).select(F.col("key").alias(f"{p}_key"), F.col("cnt").alias(f"{p}_cnt"), F.col("cnt").alias("ms"), (F.col("cnt") * 2 + source).alias("arrival"))
+    return star.windowed(side(500, 7, "i", 0), side(300, 5, "o", 1), "i_key", "o_key", 100, 20).select(F.col("i_key").alias("key"), "i_cnt", "o_cnt")
+
+
 @query("""WITH p AS (SELECT i AS id, CAST(i // 200 AS INT) AS phase, i % 200 AS k FROM range(0, 800) t(i))
 SELECT id, phase, CASE WHEN floor((k + 1) * s) > floor(k * s) THEN '1' ELSE '2' END AS key FROM (SELECT *, CAST([0.95, 0.5, 0.05, 0.5][phase + 1] AS DOUBLE) AS s FROM p)""")
 def skew_phases(spark, d):

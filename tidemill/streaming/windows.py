@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.relational import COMPARISONS
 from ..operators.sequencing import bucket_of, check_window, utc_timestamp
+from ..operators.window_join import SHARES
 
 
 def event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
@@ -40,10 +41,30 @@ def symmetric_sliding_join(left: DataFrame, right: DataFrame, key: str, order: s
     return l.join(r, (F.col(f"l_{key}") == F.col(f"r_{key}")) & bounded & (lefts_first | rights_first))
 
 
+def sliding_equi_join(stored: DataFrame, probes: DataFrame, key: str, order: str, window: int, slide: int, t0: int) -> DataFrame:
+    """One-sided, as the batch join: each probe (r_*) meets the stored rows (l_*) that arrived before it and are alive.
+
+    A ring that ends before the window does (``window // slide`` closed buckets shorter than the
+    window) drops rows by the newest stored bucket, which a join's state does not know; such windows are refused.
+    """
+    if check_window(window, slide) * (slide + 1) < window:
+        raise ValueError("on a stream the ring of buckets must span the window")
+    l, r = _pair(stored, probes)
+    alive = bucket_of(F.col("l_ms"), t0, slide) * (slide + 1) + (t0 + window) > F.col("r_ms")
+    span = F.make_dt_interval(secs=F.lit(window / 1000))
+    bounded = (F.col("r_ts") >= F.col("l_ts")) & (F.col("r_ts") <= F.col("l_ts") + span)
+    return l.join(r, (F.col(f"l_{key}") == F.col(f"r_{key}")) & bounded & (F.col(f"l_{order}") < F.col(f"r_{order}")) & alive)
+
+
 def sliding_theta_join(stored: DataFrame, probes: DataFrame, op: str, value: str, order: str, window: int, slide: int, t0: int) -> DataFrame:
-    """Spark has no stream join without equality: probes carry the number of their ``window``-long block, stored rows two."""
+    """Spark has no stream join without equality: probes carry the number of their ``window``-long block, stored rows two.
+
+    A block's stored rows are dealt out to SHARES and each probe goes to all of them.
+    """
     check_window(window, slide)
     s, p = _pair(stored, probes)
+    s = s.withColumn("l_share", F.pmod(F.xxhash64(f"l_{order}"), F.lit(SHARES)).cast("int"))
+    p = p.withColumn("r_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
     s = s.withColumn("l_block", F.explode(F.array(F.floor(F.col("l_ms") / window), F.floor(F.col("l_ms") / window) + 1)))
     p = p.withColumn("r_block", F.floor(F.col("r_ms") / window))
     b = bucket_of(F.col("l_ms"), t0, slide)
@@ -51,7 +72,8 @@ def sliding_theta_join(stored: DataFrame, probes: DataFrame, op: str, value: str
     bounded = (F.col("r_ts") >= F.col("l_ts")) & (F.col("r_ts") <= F.col("l_ts") + span)
     alive = (b * (slide + 1) + (t0 + window)) > F.col("r_ms")
     test = COMPARISONS[op](F.col(f"l_{value}").cast("bigint"), F.col(f"r_{value}").cast("bigint"))
-    return s.join(p, (F.col("l_block") == F.col("r_block")) & bounded & alive & (F.col(f"l_{order}") < F.col(f"r_{order}")) & test).drop("l_block", "r_block")
+    same = (F.col("l_block") == F.col("r_block")) & (F.col("l_share") == F.col("r_share"))
+    return s.join(p, same & bounded & alive & (F.col(f"l_{order}") < F.col(f"r_{order}")) & test).drop("l_block", "r_block", "l_share", "r_share")
 
 
 def hopping_group_count(df: DataFrame, key: str, window: int, slide: int, name: str = "n") -> DataFrame:
