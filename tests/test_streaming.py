@@ -1,8 +1,12 @@
 """Streaming forms against the batch operators."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import window_join
+from tidemill.functions import secure
+from tidemill.operators import aggregates, policy, window_join
 from tidemill.sources import readers
 from tidemill.streaming import sinks, stateful, windows
 
@@ -98,3 +102,76 @@ def test_progress_log_and_metric_lines(spark, tmp_path):
     df = spark.createDataFrame([("t1", 1, "latency", 2.0)], "task string, ts bigint, metric string, value double")
     sinks.metric_lines(df, str(tmp_path / "m"))
     assert spark.read.csv(str(tmp_path / "m")).count() == 1
+
+
+def test_one_sided_join_equals_batch(spark, tmp_path, rows):
+    batch, live = both(spark, tmp_path)
+    t0 = batch.filter("side = 'l'").agg(F.min("ms")).first()[0]
+    expected = window_join.sliding_equi_join(batch.filter("side = 'l'"), batch.filter("side = 'r'"), "k", "ms", "id", 5000, 999)
+    got = windows.sliding_equi_join(live.filter("side = 'l'"), live.filter("side = 'r'"), "k", "id", 5000, 999, t0)
+    assert rows(run(got.select("l_id", "r_id"), "one")) == rows(expected, "s_id", "p_id")
+    with pytest.raises(ValueError):
+        windows.sliding_equi_join(live, live, "k", "id", 5000, 1300, t0)
+
+
+def test_sliding_group_count_equals_batch(spark, tmp_path, rows):
+    batch, live = both(spark, tmp_path)
+    t0 = batch.agg(F.min("ms")).first()[0]
+    for window, slide in ((5000, 1000), (4000, 1300)):
+        expected = aggregates.sliding_group_count(batch, "k", "ms", "id", window, slide)
+        got = stateful.sliding_group_count(live.drop("ts"), "k", "ms", "id", window, slide, t0)
+        assert rows(run(got, f"sgc{slide}"), "id", "k", "ms", "n") == rows(expected, "id", "k", "ms", "n")
+
+
+def test_side_window_equals_batch(spark, tmp_path, rows):
+    batch, live = stream(spark, tmp_path, EVENTS, DDL)
+    expected = window_join.count_window_join(batch.filter("side = 'l'").select("id", "k"), batch.filter("side = 'r'").select("id", "k"), "k", "id", 7)
+    got = stateful.side_window_join(live.withColumn("s", F.lit("only")), "s", "k", "id", "side", 7)
+    assert rows(run(got, "side"), "k", "l_order", "r_order") == rows(expected, "key", "l_id", "r_id")
+
+
+def test_tumbling_windows_equal_batch(spark, tmp_path, rows):
+    batch, live = stream(spark, tmp_path, EVENTS, DDL)
+    one = live.withColumn("s", F.lit("only"))
+    expected = aggregates.tumbling_count_if(batch, "id", 8, "v", "lt", 25)
+    assert rows(run(stateful.tumbling_count_if(one, "s", "id", F.col("v") < 25, 8), "tci"), "block", "n") == rows(expected, "block", "n")
+    key = secure.Paillier.generate(128, seed=3)
+    cipher = {v: str(key.encrypt(v, random.Random(v))) for v in range(50)}
+    coded = F.create_map(*[F.lit(x) for kv in cipher.items() for x in kv])[F.col("v")]
+    got = run(stateful.tumbling_product(one.withColumn("c", coded), "s", "id", "c", 8, key.n**2), "prod").collect()
+    sums = aggregates.tumbling_sum(batch, "id", 8, F.col("v"))
+    assert sorted(((r.block, key.decrypt(int(r.product))) for r in got), key=repr) == rows(sums, "block", "total")
+
+
+def test_policies_in_force_on_a_stream(spark, tmp_path, rows):
+    data = [(i, i % 3, i % 7 == 0, i * 5 % 11 if i % 7 == 0 else None) for i in range(60)]
+    _, live = stream(spark, tmp_path, data, "id bigint, k int, sps boolean, t bigint")
+    now, want = {}, []
+    for i, k, sps, t in data:
+        if sps:
+            now[k] = t
+        else:
+            want.append((i, k, now.get(k)))
+    assert rows(run(stateful.in_force(live, "k", "id", "sps", "t"), "force"), "id", "k", "t") == sorted(want, key=repr)
+
+
+def test_punctuations_on_a_stream(spark, tmp_path, rows):
+    lines = [(f"SPS,s,{i % 5},p,f,k" if i % 4 == 0 else f"{i},x",) for i in range(40)]
+    _, live = stream(spark, tmp_path, lines, "value string")
+    data, policies = policy.split_punctuations(live)
+    assert run(data, "data").count() == 30
+    assert [r[0] for r in rows(run(policy.parse_punctuations(policies).select("permission"), "pol"))] == sorted(i % 5 for i in range(0, 40, 4))
+
+
+def test_metadata_tables(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/meta;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    sinks.to_jdbc(url, "things", **driver)(first, 0)
+    sinks.upsert_jdbc(url, "things", ["id"], **driver)(spark.createDataFrame([(2, "c"), (3, "d")], "id int, name string"))
+    look = lambda t: sorted(tuple(r) for r in sinks.from_jdbc(spark, url, t, **driver).collect())
+    assert look("things") == [(1, "a"), (2, "c"), (3, "d")]
+    config = readers.config_rows(spark.createDataFrame([("provider;x, y",), ("policy;0:A:B,1:C:D,bad",), ("attribute;q",), ("noise",)], "value string"))
+    for _ in range(2):  # loading again empties the tables first
+        sinks.load_config(config, url, **driver)
+    assert look("data_provider") == [(0, "x"), (1, "y")] and look("policy") == [(0, "A,B"), (1, "C,D")] and look("attribute") == [(0, "q")]
