@@ -21,6 +21,10 @@ SHAPES = {
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 _CAUSAL = np.tril(np.ones((LENGTH, LENGTH), bool))
 _DISTANCE = np.where(_CAUSAL, np.arange(LENGTH)[:, None] - np.arange(LENGTH), 0)
+_BY_HEAD = np.repeat(np.eye(HEADS, dtype=np.float32), WIDTH // HEADS, 0)
+_HALVES = np.repeat(np.eye(2, dtype=np.float32), [GROUPS, MEMBERS], 0)
+#: Windows whose activations stay in a core's cache.
+BLOCK = 32
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -46,138 +50,171 @@ def initial(seed: int = 7) -> np.ndarray:
     return flat
 
 
-def projected(p: dict) -> tuple[np.ndarray, ...]:
-    """Per class: queries, keys and values of each head (a one after each value), and the distance weights.
+def projected(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(per class: embedding, queries, keys, and of each head values and a one; the distance weights).
 
     Inputs are classes only, so projections are table rows: they are made once for a set of weights.
     """
     dh = WIDTH // HEADS
-    q, k, v = (np.ascontiguousarray((p["e"] @ p[name]).reshape(CLASSES, HEADS, dh).transpose(1, 0, 2)) for name in ("q", "k", "v"))
-    q *= np.float32(dh**-0.5)
-    return q, k, np.concatenate([v, np.ones((HEADS, CLASSES, 1), np.float32)], 2), np.exp(p["r"])[:, None, _DISTANCE] * _CAUSAL
+    table = np.ones((CLASSES, 3 * WIDTH + HEADS * (dh + 1)), np.float32)
+    table[:, :WIDTH] = p["e"]
+    np.matmul(p["e"], p["q"] * np.float32(dh**-0.5), out=table[:, WIDTH : 2 * WIDTH])
+    np.matmul(p["e"], p["k"], out=table[:, 2 * WIDTH : 3 * WIDTH])
+    table[:, 3 * WIDTH :].reshape(CLASSES, HEADS, dh + 1)[..., :dh] = (p["e"] @ p["v"]).reshape(CLASSES, HEADS, dh)
+    return table, np.exp(p["r"])[:, None, _DISTANCE] * _CAUSAL
 
 
-def _hidden(p: dict, tables: tuple[np.ndarray, ...], x: np.ndarray, normal: bool = False):
-    """Activations of windows; ``normal`` also divides the attention weights, which only gradients need."""
+def _head(t: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, keys and values (with the ones) of head ``j`` in gathered rows of the table."""
+    dh = WIDTH // HEADS
+    q, v = WIDTH + j * dh, 3 * WIDTH + j * (dh + 1)
+    return t[..., q : q + dh], t[..., q + WIDTH : q + WIDTH + dh], t[..., v : v + dh + 1]
+
+
+def _block(p: dict, tables: tuple[np.ndarray, np.ndarray], x: np.ndarray, begin: int, h: np.ndarray):
+    """Activations of some windows; their hidden rows from place ``begin`` on go to ``h``."""
     n, length = x.shape
-    flat = p["e"].take(x.ravel(), 0)
-    q, k, v = (t.take(x, 1) for t in tables[:3])
-    a = np.matmul(q, k.transpose(0, 1, 3, 2))
-    np.exp(a, out=a)
-    a *= tables[3][:, :, :length, :length]
-    mixed = np.matmul(a, v)  # the last column is the sum of the weights
-    if normal:
-        a /= mixed[..., -1:]
-    joined = np.empty((n, length, HEADS, WIDTH // HEADS), np.float32)
+    dh, m = WIDTH // HEADS, length - begin
+    t = tables[0].take(x, 0)
+    a = np.empty((HEADS, n, m, length), np.float32)
+    mixed, ones = np.empty((n, m, HEADS, dh), np.float32), np.ones(length, np.float32)
     for j in range(HEADS):
-        np.divide(mixed[j, ..., :-1], mixed[j, ..., -1:], out=joined[:, :, j])
-    mixed = joined.reshape(n * length, WIDTH)
+        q, k, v = _head(t, j)
+        # small products are several times as fast with the right side as it lies
+        np.matmul(q[:, begin:], np.ascontiguousarray(k.transpose(0, 2, 1)), out=a[j])
+        np.exp(a[j], out=a[j])
+        a[j] *= tables[1][j, :, begin:length, :length]
+        np.matmul(a[j], v[..., :dh], out=mixed[:, :, j])
+    inverse = 1 / (a.reshape(HEADS, n * m, length) @ ones)
+    mixed = mixed.reshape(n * m, WIDTH)
+    mixed *= inverse.T @ _BY_HEAD.T
     u = mixed @ p["o"]
-    u += flat
+    u.reshape(n, m, WIDTH)[:] += t[:, begin:, :WIDTH]
     z = u @ p["w1"]
     z += p["b1"]
     np.maximum(z, 0, out=z)
-    h = z @ p["w2"]
+    np.matmul(z, p["w2"], out=h)
     h += u
-    return flat, q, k, v[..., :-1], a, mixed, u, z, h
+    return t, a, inverse, mixed, u, z
 
 
-def _exp_rows(logits: np.ndarray) -> np.ndarray:
-    """exp in place; logits are log probabilities plus small residuals, so none is large.  Returns the sums of the rows."""
-    np.minimum(logits, np.float32(60), out=logits)
-    np.exp(logits, out=logits)
-    return logits @ np.ones(logits.shape[1], np.float32)
+def _hidden(p: dict, tables: tuple[np.ndarray, np.ndarray], x: np.ndarray, begin: int = 0):
+    """(activations by block of windows, hidden rows of the places from ``begin`` on).
 
+    Only keys and values of the places before ``begin`` are used, and blocks stay in a core's cache.
+    """
+    n, length = x.shape
+    h = np.empty((n * (length - begin), WIDTH), np.float32)
+    step = BLOCK * (length - begin)
+    return [_block(p, tables, x[lo : lo + BLOCK], begin, h[k * step : (k + 1) * step]) for k, lo in enumerate(range(0, n, BLOCK))], h
 
-def _member_logits(p: dict, tables, h: np.ndarray, prev: np.ndarray, group: np.ndarray):
-    """(order of the rows by group, first row of each group, the rows of h so, their member logits)."""
-    order = np.argsort(group.astype(np.uint8), kind="stable")
-    edge = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    lm = np.empty((len(order), MEMBERS), np.float32)
-    hs = h.take(order, 0)
+
+def _exp_logits(p: dict, tables, h: np.ndarray, at: np.ndarray, prev: np.ndarray, target: np.ndarray):
+    """The rows of ``h`` at ``at``, by group of their targets, and the exponentials of their logits.
+
+    Returns (order, first row of each group, those rows, logit weights by group, exponentials of group and member logits, those
+    of the targets, sums); the last three have the groups and the members beside each other.
+    """
+    order = np.argsort((target >> 5).astype(np.uint8), kind="stable")
+    target, prev = target[order], prev[order]
+    group = target >> 5
+    edge = np.searchsorted(group, np.arange(GROUPS + 1))
+    hs = h.take(at[order], 0)
+    w = np.empty((GROUPS, WIDTH, GROUPS + MEMBERS), np.float32)
+    w[..., :GROUPS] = p["g"]
+    w[..., GROUPS:] = p["m"]
+    e = np.empty((len(order), GROUPS + MEMBERS), np.float32)
     for c in range(GROUPS):
         s = slice(edge[c], edge[c + 1])
-        np.matmul(hs[s], p["m"][c], out=lm[s])
-    lm += tables[1].reshape(-1, MEMBERS).take((prev * GROUPS + group)[order], 0)
-    return order, edge, hs, lm
+        np.matmul(hs[s], w[c], out=e[s])
+    e[:, :GROUPS] += tables[0].take(prev, 0)
+    e[:, GROUPS:] += tables[1].reshape(-1, MEMBERS).take(prev * GROUPS + group, 0)
+    if e.size and e.max() > 60:  # logits are log probabilities plus small residuals, so none should be large
+        np.minimum(e, np.float32(60), out=e)
+    np.exp(e, out=e)
+    place = np.arange(len(order)) * (GROUPS + MEMBERS)
+    own = np.stack([place + group, place + GROUPS + (target & 31)], 1)
+    return order, edge, hs, w, e, own, e @ _HALVES
 
 
 def log_probs(p: dict, tables: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.ndarray, ready: tuple | None = None) -> np.ndarray:
     """Natural log probability of the masked targets, in row order; ``ready`` is :func:`projected` of the weights."""
-    at = np.flatnonzero(mask)
-    h = _hidden(p, ready or projected(p), x)[-1].take(at, 0)
-    prev, target = x.ravel()[at], y.ravel()[at]
-    group, member = target >> 5, target & 31
-    rows = np.arange(len(target))
-    lg = h @ p["g"]
-    lg += tables[0].take(prev, 0)
-    out = lg[rows, group]
-    out -= np.log(_exp_rows(lg))
-    order, _, _, lm = _member_logits(p, tables, h, prev, group)
-    own = lm[rows, member[order]]
-    own -= np.log(_exp_rows(lm))
-    out[order] += own
+    begin = int(mask.any(0).argmax())
+    at = np.flatnonzero(mask[:, begin:])
+    h = _hidden(p, ready or projected(p), x, begin)[1]
+    order, _, _, _, e, own, sums = _exp_logits(p, tables, h, at, x[:, begin:].ravel()[at], y[:, begin:].ravel()[at])
+    got = e.ravel()[own]
+    out = np.empty(len(at), np.float32)
+    # a product of both could leave the range
+    out[order] = np.log(got / sums).sum(1)
     return out
 
 
 def gradient(flat: np.ndarray, tables, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Gradient of the mean negative log probability of the masked targets."""
-    p, out = unpack(flat), np.zeros(SIZE, np.float32)
+    p, out = unpack(flat), np.empty(SIZE, np.float32)
+    out.fill(0)
     d = unpack(out)
-    emb, q, k, v, a, mixed, u, z, h = _hidden(p, projected(p), x, normal=True)
+    blocks, h = _hidden(p, projected(p), x)
     n, length = x.shape
+    dh, scale = WIDTH // HEADS, np.float32((WIDTH // HEADS) ** -0.5)
     at = np.flatnonzero(mask)
-    x, y = x.ravel(), y.ravel()
-    hm, prev, target = h.take(at, 0), x[at], y[at]
-    group, member = target >> 5, target & 31
-    count = np.float32(1 / max(1, len(target)))
-    rows = np.arange(len(target))
-    pg = hm @ p["g"]
-    pg += tables[0].take(prev, 0)
-    pg *= (count / _exp_rows(pg))[:, None]
-    pg[rows, group] -= count
-    d["g"][:] = hm.T @ pg
-    dhm = pg @ p["g"].T
-    order, edge, hs, pm = _member_logits(p, tables, hm, prev, group)
-    pm *= (count / _exp_rows(pm))[:, None]
-    pm[rows, member[order]] -= count
-    dhs = np.empty_like(hs)
+    x = x.ravel()
+    order, edge, hs, w, e, own, sums = _exp_logits(p, tables, h, at, x[at], y.ravel()[at])
+    count = np.float32(1 / max(1, len(at)))
+    e.reshape(len(at), 2, -1)[:] *= (count / sums)[..., None]
+    e.ravel()[own] -= count
+    dw, dhs = np.empty_like(w), np.empty_like(hs)
     for c in range(GROUPS):
         s = slice(edge[c], edge[c + 1])
-        np.matmul(hs[s].T, pm[s], out=d["m"][c])
-        np.matmul(pm[s], p["m"][c].T, out=dhs[s])
-    dhm[order] += dhs
-    if len(at) == len(h):
-        dh = dhm
-    else:
-        dh = np.zeros_like(h)
-        dh[at] = dhm
-    dz = dh @ p["w2"].T
-    dz *= z > 0
-    d["w2"][:] = z.T @ dh
-    d["w1"][:] = u.T @ dz
-    d["b1"][:] = dz.sum(0)
-    du = dz @ p["w1"].T
-    du += dh
-    d["o"][:] = mixed.T @ du
-    split = np.ascontiguousarray((du @ p["o"].T).reshape(n, length, HEADS, -1).transpose(2, 0, 1, 3))
-    da = np.matmul(split, v.transpose(0, 1, 3, 2))
-    # the softmax's slope needs sum(da * a) by row, which is the output's product with its own gradient
-    both = (mixed * (du @ p["o"].T)).reshape(n, length, HEADS, -1).sum(3).transpose(2, 0, 1)[..., None]
-    da -= both
-    da *= a
-    by_distance = da.sum(1)
+        np.matmul(hs[s].T, e[s], out=dw[c])
+        np.matmul(e[s], w[c].T, out=dhs[s])
+    d["g"][:] = dw[..., :GROUPS].sum(0)
+    d["m"][:] = dw[..., GROUPS:]
+    dhidden = h  # no longer needed
+    if len(at) < len(h):
+        dhidden[:] = 0
+    dhidden[at[order]] = dhs
+    qkv = np.concatenate([p["q"] * scale, p["k"], p["v"]], 1)
+    d_qkv, demb = np.zeros_like(qkv), np.empty_like(h)
+    by_distance = np.zeros((HEADS, length * length), np.float32)
+    lo = 0
+    for t, a, inverse, mixed, u, z in blocks:
+        b, hi = len(t), lo + len(u)
+        dy = dhidden[lo:hi]
+        dz = dy @ p["w2"].T
+        dz *= z > 0
+        ones = np.ones(len(dz), np.float32)
+        d["w2"] += z.T @ dy
+        d["w1"] += u.T @ dz
+        d["b1"] += ones @ dz
+        du = dz @ p["w1"].T
+        du += dy
+        d["o"] += mixed.T @ du
+        dmixed = du @ p["o"].T
+        # the softmax's slope needs sum(da * a) by row, which is the output's product with its own gradient; it goes beside the ones of the values
+        split = np.empty((b, length, HEADS, dh + 1), np.float32)
+        dmixed *= inverse.T @ _BY_HEAD.T
+        mixed *= dmixed
+        split[..., :dh] = dmixed.reshape(b, length, HEADS, dh)
+        np.negative((mixed @ _BY_HEAD).reshape(b, length, HEADS), out=split[..., dh])
+        turned = np.empty((b, length, 3, HEADS, dh), np.float32)
+        for j in range(HEADS):
+            q, k, v = _head(t, j)
+            da = np.matmul(split[:, :, j], np.ascontiguousarray(v.transpose(0, 2, 1)))
+            da *= a[j]
+            by_distance[j] += ones[:b] @ da.reshape(b, -1)
+            np.matmul(da, k, out=turned[:, :, 0, j])
+            np.matmul(da.transpose(0, 2, 1), q, out=turned[:, :, 1, j])
+            np.matmul(a[j].transpose(0, 2, 1), split[:, :, j, :dh], out=turned[:, :, 2, j])
+        turned = turned.reshape(hi - lo, 3 * WIDTH)
+        d_qkv += t.reshape(hi - lo, -1)[:, :WIDTH].T @ turned
+        np.matmul(turned, qkv.T, out=demb[lo:hi])
+        demb[lo:hi] += du
+        lo = hi
     for j in range(HEADS):
-        d["r"][j] = np.bincount(_DISTANCE[:length, :length].ravel(), (by_distance[j] * _CAUSAL[:length, :length]).ravel(), LENGTH)
-    scale = np.float32((WIDTH // HEADS) ** -0.5)
-    turned = np.empty((3, n, length, HEADS, WIDTH // HEADS), np.float32)
-    for i, g in enumerate((np.matmul(da, k), np.matmul(da.transpose(0, 1, 3, 2), q), np.matmul(a.transpose(0, 1, 3, 2), split))):  # q is scaled already
-        turned[i] = g.transpose(1, 2, 0, 3)
-    turned[0] *= scale
-    demb = du
-    for name, g in zip(("q", "k", "v"), turned.reshape(3, n * length, WIDTH)):
-        d[name][:] = emb.T @ g
-        demb += g @ p[name].T
+        d["r"][j] = np.bincount(_DISTANCE[:length, :length].ravel(), by_distance[j] * _CAUSAL[:length, :length].ravel(), LENGTH)
+    d["q"][:], d["k"][:], d["v"][:] = d_qkv[:, :WIDTH] * scale, d_qkv[:, WIDTH : 2 * WIDTH], d_qkv[:, 2 * WIDTH :]
     order = np.argsort(x.astype(np.uint16), kind="stable")
     sx = x[order]
     first = np.flatnonzero(np.concatenate([[True], sx[1:] != sx[:-1]]))

@@ -1,8 +1,8 @@
 """Operator 1: language-model scoring with a causal self-attention model on subword ids.
 
-The text a model sees is its words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, joined by
-single spaces, then one end.  Frequent byte-level BPE ids are classes; the others
-share an escape class and an add-one unigram.  Documents whose crc32 fold is 2 are
+The text a model sees is its words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, each encoded
+with a single space before it, then one end.  Frequent byte-level BPE ids are classes;
+the others share an escape class and an add-one unigram.  Documents whose crc32 fold is 2 are
 held out of all learning.
 
 Passes:
@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import LOWER, SPACE_WORDS, fold, held_out, raw_bytes, saved, small_batches, text_array, word_hashes, word_spans
+from .common import LOWER, SPACE_WORDS, fold, held_out, ragged, raw_bytes, saved, small_batches, text_array, word_hashes, word_spans
 from .tokens import load_bpe
 
 MOD, HOT = 7, 1 << 20
@@ -70,12 +70,18 @@ def normal_texts(texts: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(flat, none), flat, pc.binary_join_element_wise(space, flat, none))
 
 
-def word_hash_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, words per text)."""
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, starts, ends and hashes of the words, words per text)."""
     flat, off = raw_bytes(texts)
     flat = LOWER[flat]
     starts, ends, per = word_spans(flat, off, SPACE_WORDS)
-    return word_hashes(flat, starts, ends).view(np.int64), per
+    return flat, starts, ends, word_hashes(flat, starts, ends), per
+
+
+def word_hash_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, words per text)."""
+    *_, hashes, per = words_of(texts)
+    return hashes.view(np.int64), per
 
 
 class Vocabulary:
@@ -284,14 +290,18 @@ def score(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", rates: tuple[fl
             texts, n = text_array(b), b.num_rows
             own = place + np.arange(n)
             place += n
-            h, per = word_hash_rows(texts)
+            flat, starts, ends, h, per = words_of(texts)
             doc = np.repeat(np.arange(n), per)
-            at = np.minimum(np.searchsorted(hot_key, h), max(0, len(hot_key) - 1))
-            is_hot = hot_key[at] == h if len(hot_key) else np.zeros(len(h), bool)
-            base = np.bincount(doc[is_hot], hot_log[at[is_hot]] if len(hot_key) else None, n)
+            distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+            h, signed = h.view(np.int64), distinct.view(np.int64)
+            at = np.minimum(np.searchsorted(hot_key, signed), max(0, len(hot_key) - 1))
+            is_hot = (hot_key[at] == signed if len(hot_key) else np.zeros(len(signed), bool))[which]
+            base = np.bincount(doc[is_hot], hot_log[at[which[is_hot]]] if len(hot_key) else None, n)
             known = np.bincount(doc[is_hot], minlength=n)
-            ids, off = bpe.encode_column(normal_texts(texts))
-            ids = np.asarray(ids).astype(kind)
+            pool, begin, size_of = bpe.encode_words(flat, starts[first], ends[first], distinct)
+            each = size_of[which]
+            ids = pool[ragged(begin[which], each)].astype(kind)
+            off = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(per))]
             rows = pa.array([ids[x:y].tobytes() for x, y in zip(off[:-1], off[1:])], pa.binary())
             none = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(own), b.column(0), b.column(2), b.column(3), b.column(4), pa.array(per + 1), pa.array(known), pa.array(base.astype(np.float64)), rows, none, none], names=names)
@@ -332,9 +342,9 @@ def score(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", rates: tuple[fl
             ids, off = _ids_of(b.column(0), size)
             s, so = vocab.classes(ids, off)
             x, y, mask, text = attention.windows(s, so, END)
+            begins = mask[:, 0]  # windows that begin a text; the others' first places are context only
             lp = np.add.reduceat(np.append(vocab.tail[ids], 0.0), off[:-1]) * (off[1:] > off[:-1])
-            for lo in range(0, len(x), BATCH):
-                w = slice(lo, lo + BATCH)
+            for w in (w[lo : lo + BATCH] for w in (np.flatnonzero(begins), np.flatnonzero(~begins)) for lo in range(0, len(w), BATCH)):
                 got = attention.log_probs(p, tables, x[w], y[w], mask[w], ready)
                 lp += np.bincount(np.repeat(text[w], mask[w].sum(1)), got, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lp / math.log(10))], names=[*kept, "score"])

@@ -72,6 +72,7 @@ class _Kinds(dict):
 
 _KINDS = _Kinds()
 #: Between two kinds, the places that are always split.
+_WHITE_BUT_SPACE = re.compile(r"[^\S ]")
 _SPLITS = re.compile(r"(?<=[LDOQ])(?=[sw])|(?<=w)(?=[LDOQ])|(?<=L)(?=[DOQ])|(?<=D)(?=[LOQ])|(?<=O)(?=[LD])|(?<=Q)(?=D)")
 
 
@@ -157,6 +158,34 @@ class ByteBpe:
         ends = np.concatenate([[0], np.cumsum(each)])
         return ids, ends[off]
 
+    def encode_words(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, keep: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pool of ids, where each word's ids begin in it, how many there are); each word has a space before it.
+
+        ``keys`` are the sorted distinct 64-bit hashes of the words, ``starts`` and ``ends`` their bytes in ``flat``.
+        A word is read only when its hash is new.
+        """
+        if len(self._keys) > keep:
+            self._reset()
+        at = np.searchsorted(self._keys, keys)
+        new = np.flatnonzero(self._keys.take(at, mode="clip") != keys) if len(self._keys) else np.arange(len(keys))
+        if len(new):
+            size = ends[new] - starts[new] + 1
+            ends = np.cumsum(size)
+            spaced = flat[ragged(starts[new] - 1, size)]
+            spaced[ends - size] = 0x20
+            text = spaced.tobytes().decode()
+            slot = len(self._start) + np.arange(len(new))
+            if _WHITE_BUT_SPACE.search(text) or (self._maybe_special and self._maybe_special.search(text)):
+                self._add(text[1:].split(" "))
+            else:  # encoded as one text and cut at the spaces
+                ids = self._enc.encode_to_numpy(text, disallowed_special=())
+                last = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+                self._pool(ids.astype(np.uint32), np.append(0, last[:-1]), np.diff(last, prepend=0))
+            self._keys, self._key_slot = np.insert(self._keys, at[new], keys[new]), np.insert(self._key_slot, at[new], slot)
+            at = np.searchsorted(self._keys, keys)
+        slot = self._key_slot[at]
+        return self._flat, self._start[slot], self._len[slot]
+
     def _slots(self, names: np.ndarray, keep: int) -> np.ndarray:
         """Where the ids of each piece (with a space before it) lie in the pool."""
         if len(self._pieces) > keep:
@@ -166,32 +195,39 @@ class ByteBpe:
         new = np.flatnonzero(slot < 0)
         if len(new):
             missing = names[new].tolist()
-            simple = [bool(s) and len(s.split()) == 1 and s[0] > " " and not s[0].isspace() and not s[-1].isspace() and not (self._maybe_special and self._maybe_special.search(s)) for s in missing]
-            # pieces without white space are encoded as one text and cut at the spaces
-            joined = [s for s, ok in zip(missing, simple) if ok]
-            ids = self._enc.encode_to_numpy(" " + " ".join(joined), disallowed_special=()) if joined else _NONE
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(s.encode()) + 1 for s in joined])) + 1 if joined else np.zeros(0, np.int64)
-            rest = [self.encode(" " + s) for s, ok in zip(missing, simple) if not ok]
-            lens = np.empty(len(missing), np.int64)
-            mask = np.array(simple, bool)
-            lens[mask] = np.diff(ends, prepend=0)
-            lens[~mask] = [len(r) for r in rest]
-            order = np.concatenate([np.flatnonzero(mask), np.flatnonzero(~mask)])
-            flat = np.concatenate([ids, *rest]).astype(np.uint32)
-            starts = np.empty(len(missing), np.int64)
-            starts[order] = self._used + np.cumsum(lens[order]) - lens[order]
             first = len(self._start)
-            self._grow(flat)
-            self._start = np.concatenate([self._start, starts])
-            self._len = np.concatenate([self._len, lens])
+            self._add(missing)
             slot[new] = first + np.arange(len(missing))
             self._pieces.update(zip(missing, range(first, first + len(missing))))
         return slot
 
+    def _add(self, missing: list[str]) -> None:
+        """Encode pieces (with a space before each) and put their ids into the pool."""
+        simple = [bool(s) and len(s.split()) == 1 and s[0] > " " and not s[0].isspace() and not s[-1].isspace() and not (self._maybe_special and self._maybe_special.search(s)) for s in missing]
+        # pieces without white space are encoded as one text and cut at the spaces
+        joined = [s for s, ok in zip(missing, simple) if ok]
+        ids = self._enc.encode_to_numpy(" " + " ".join(joined), disallowed_special=()) if joined else _NONE
+        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(s.encode()) + 1 for s in joined])) + 1 if joined else np.zeros(0, np.int64)
+        rest = [self.encode(" " + s) for s, ok in zip(missing, simple) if not ok]
+        lens = np.empty(len(missing), np.int64)
+        mask = np.array(simple, bool)
+        lens[mask] = np.diff(ends, prepend=0)
+        lens[~mask] = [len(r) for r in rest]
+        order = np.concatenate([np.flatnonzero(mask), np.flatnonzero(~mask)])
+        starts = np.empty(len(missing), np.int64)
+        starts[order] = np.cumsum(lens[order]) - lens[order]
+        self._pool(np.concatenate([ids, *rest]).astype(np.uint32), starts, lens)
+
+    def _pool(self, ids: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
+        self._start = np.concatenate([self._start, self._used + starts])
+        self._len = np.concatenate([self._len, lens])
+        self._grow(ids)
+
     def _reset(self) -> None:
         self._pieces: dict[str, int] = {}
         self._flat, self._used = np.zeros(1 << 16, np.uint32), 0
         self._start, self._len = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._keys, self._key_slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def _grow(self, ids: np.ndarray) -> None:
         need = self._used + len(ids)
